@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import WordHash, arrow_map, longs, materialize, mix, small, utf8
+from quillmark.llm._common import arrow_map, longs, materialize, mix, small
 from quillmark.llm.components import connected_components
+from quillmark.llm.words import stretches
 
 WORDS = 5  # words in a shingle
 COUNTERS = 1 << 20  # hashed counters of shingles
@@ -41,14 +42,10 @@ BLOCK = 512  # rows of a block when the members of a mixed group are compared
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
 
 
-def shingle_set(text: str | None, cache: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; with fewer than five words the whole sequence is one."""
-    words = utf8(text).lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def shingles_of(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a sequence of word hashes; with fewer than five words the whole sequence is one."""
     if len(w) < WORDS:
-        return mix((w * _C[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
+        return mix((w * _C[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w))) if len(w) else w
     n = len(w) - WORDS + 1
     acc = w[:n] * _C[0]
     for j in range(1, WORDS):
@@ -56,6 +53,14 @@ def shingle_set(text: str | None, cache: WordHash) -> np.ndarray:
     return np.unique(mix(acc))
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a column, in order."""
+    for part in stretches(texts):
+        h = part.hashes()
+        for a, b in zip(part.first[:-1], part.first[1:]):
+            yield shingles_of(h[a:b])
+
+
 def allowed(x: int, y: int) -> int:
     """Largest symmetric difference of sets of these sizes at Jaccard 0.8."""
     return (x + y) // 9
@@ -118,12 +123,11 @@ def _scan(hot_bits: int):
     """Per document its size and a 128-bit hash of its set; per task the hashed counters far above their mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts, docs = WordHash(), np.zeros(hot_bits, np.int32), 0
+        counts, docs = np.zeros(hot_bits, np.int32), 0
         shift = np.uint64(64 - hot_bits.bit_length() + 1)
         for b in batches:
             n, h1, h2 = [], [], []
-            for t in b.column(1):
-                s = shingle_set(t.as_py(), cache)
+            for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64)))
                 h2.append(int(mix(s ^ np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)))
@@ -141,16 +145,15 @@ def _scan(hot_bits: int):
 
 def _index(hot: bytes, fine: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, mask, seen = WordHash(), np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool), set()
+        mask, seen = np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool), set()
 
         def rows(sigs, ids):
             return pa.record_batch([longs(np.concatenate(sigs)), longs(np.repeat(np.array([i for i, _ in ids], np.int64), [k for _, k in ids]))], ["sig", "node"])
 
         for b in batches:
             sigs, ids, held = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = shingle_set(t.as_py(), cache) if i is not None else ()
-                if len(s) == 0:
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1))):
+                if i is None or len(s) == 0:
                     continue
                 own = (len(s), int(s.sum(dtype=np.uint64)))
                 if own in seen:  # a copy in this task: its set is indexed already
@@ -175,9 +178,8 @@ def _index(hot: bytes, fine: frozenset[int]):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHash()
     for b in batches:
-        sets = [shingle_set(t.as_py(), cache) for t in b.column(2)]
+        sets = list(shingle_sets(b.column(2)))
         yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["node", "leader", "n", "bits", "sketch"])
 
 
