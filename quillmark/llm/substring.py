@@ -67,7 +67,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(places, pa.int32())], ["h", "id", "tie", "place"])
 
 
-@F.pandas_udf("text string, n_sentences int, n_removed int, removed_words long, spans string")
 def _cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     rows = []
     for t, p in zip(text, places):
@@ -99,5 +98,6 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = runs.join(small(repeated, repeated.count()), "h").where(F.struct("id", "tie", "place") != F.col("first")).groupBy("id", "tie").agg(F.collect_set("place").alias("_places"))
     later = materialize(later)
     n = later.agg(F.sum(F.size("_places"))).first()[0] or 0
+    cut = F.pandas_udf(_cut, "text string, n_sentences int, n_removed int, removed_words long, spans string")
     joined = t.join(small(later, n), F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
-    return joined.select(*[F.col(c) for c in docs.columns if c != "cut"], _cut(F.col(text_col), F.col("_places")).alias("cut"))
+    return joined.select(*[F.col(c) for c in docs.columns if c != "cut"], cut(F.col(text_col), F.col("_places")).alias("cut"))
