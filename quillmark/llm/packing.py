@@ -12,7 +12,9 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +31,49 @@ WINDOW = 1 << 20  # tokens gathered before a window is packed
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_length long, sequence_cost double"
 
 
-class ChunkIds(dict):
-    """Encodes chunks between ASCII white space, memoised. The tokenizer drops white space and never looks across it."""
+class PieceIds(dict):
+    """Ids of a whole text. The tokenizer splits a text into pieces and encodes each by itself, so ids are memoised by
+    piece, within a bound. Texts of the first 256 code points are split here by the tokenizer's own pattern
+    (they are in normal form, and lower-casing is character by character); others go through the tokenizer in
+    chunks between ASCII white space, which it drops and never looks across."""
 
-    LIMIT = 400_000
+    LIMIT = 600_000
+    LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t-\r \x85\xa0{LETTERS}{DIGITS}]+")
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(tokenizer_path)
-        self._t.encode_special_tokens = False
+        self._model = self._t.model
+        self._chunks: dict[bytes, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        rest = [b for b in range(256) if b not in shown]
+        self._byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        ids = np.array(self._t.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self._byte.__getitem__, piece.encode("utf-8")))
+        ids = self[piece] = array("I", [t.id for t in self._model.tokenize(symbols)]).tobytes()
+        return ids
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        ids = self._chunks.get(chunk)
+        if ids is None:
+            if len(self._chunks) >= self.LIMIT // 4:
+                self._chunks.clear()
+            ids = self._chunks[chunk] = array("I", self._t.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        return b"".join(map(self.__getitem__, utf8(text).split()))
+        if not text:
+            return b""
+        if "<|" not in text and (text.isascii() or max(text) <= "\xff"):
+            return b"".join(map(self.__getitem__, self.SPLIT.findall(text.lower())))
+        return b"".join(map(self._chunk, utf8(text).split()))
 
 
 def capacities(total: int, length: int = LENGTH) -> list[int]:
@@ -87,7 +111,7 @@ def pack_window(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int
 
 def _pack(tokenizer_path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ChunkIds(tokenizer_path)
+        ids_of = PieceIds(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         held, tokens, next_id = [], 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
