@@ -107,11 +107,11 @@ def mix_documents(docs: DataFrame, size: Column, source_col: str = "source", id_
     t = t.withColumn("_run", F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     t = t.join(small(starts, starts.count()), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_bucket") == F.col("b")))
     t = t.withColumn("_at", F.col("before") + F.col("_run"))
-    t = t.withColumn("_goal", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("_goal") / F.col("source_size"))).otherwise(0).cast("long"))
+    t = t.withColumn("_goal", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("_goal") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
     t = t.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_goal") - F.col("passes") * F.col("source_size") - F.col("_at"))))
     t = t.withColumn("taken", F.col("passes") * F.col("_size") + F.col("part"))
     repeats = F.when(F.col("_size") > 0, F.col("passes") + (F.col("part") > 0).cast("long")).otherwise(0).cast("int")
-    middle = lambda r: (r * F.col("source_size") + F.col("_at") + F.col("_size") / 2.0) / F.col("_goal")
+    middle = lambda r: (r * F.col("source_size") + F.col("_at") + F.col("_size") / 2.0) / F.greatest("_goal", F.lit(1))
     every = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), lambda r: invert_demand(F.least(F.lit(1.0), middle(r)), F.col("ramp")))
     t = t.withColumn("positions", F.slice(every, F.lit(1), repeats)).withColumn("position", F.get("positions", F.lit(0)))
     t = t.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken", "passes", "part", "positions", "position", *[F.col(f"_p_{c}").alias(c) for c in keep])
