@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, embed_dedup, mixing, ngram_join, packing, pii, quality, substring, toxicity, url_filter
-from quillmark.llm.sql import ORACLES
+from quillmark.llm.sql import oracles
 
 #: Folder of the public tokenizers; the same on every machine.
 TOKENIZERS = os.environ.get("QUILLMARK_TOKENIZERS", "")
@@ -41,7 +41,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     done = chat.format_conversations(given.unionByName(more), tokenizer("byte_bpe_50k.json"))
-    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", F.size("ids").cast("long").alias("n_ids"))
+    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return oracles(RULES)
 
 
