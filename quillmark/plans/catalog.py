@@ -141,8 +141,8 @@ def structural_facts(spark, sf_dir):
 
 
 def page_islands(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.length("text") > 200, "long").otherwise("short").alias("doctype_id"), (F.length("text") / 1000).alias("confidence"))
-    return segments.page_islands(c).select("doc_id", "doctype_id", "start_page", "end_page", F.round("confidence", 3).alias("confidence"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.length("text") > 200, "long").otherwise("short").alias("doctype_id"), (F.length("text") / 1024).alias("confidence"))
+    return segments.page_islands(c).select("doc_id", "doctype_id", "start_page", "end_page", "confidence")
 
 
 def _bundle(spark, sf_dir):

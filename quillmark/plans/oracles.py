@@ -117,7 +117,7 @@ ORACLES = {
     "pattern_fields": f"WITH {BLOCKS} SELECT doc_id, name, value, 'body' AS zone, min(seq) AS seq, 0.5::DOUBLE AS confidence FROM (" + " UNION ALL ".join(f"SELECT doc_id, seq, {q(n)} AS name, unnest(regexp_extract_all(text, {q(p)})) AS value FROM blocks" for n, p in R.PATTERNS) + ") GROUP BY doc_id, name, value",
     "validated_numbers": f"WITH n AS (SELECT o_orderkey, lpad(((o_orderkey * 48271) % 1000000000)::VARCHAR, 9, '0') AS d FROM orders), e AS (SELECT o_orderkey, d, 'ssn' AS validator, CASE WHEN d BETWEEN '987654320' AND '987654329' THEN 'reserved_for_advertising:never_issued' WHEN substr(d, 1, 3) IN ('000', '666') OR d[1] = '9' THEN 'invalid_area:' || substr(d, 1, 3) WHEN substr(d, 4, 2) = '00' THEN 'invalid_group:00' WHEN substr(d, 6) = '0000' THEN 'invalid_serial:0000' END AS bad, substr(d, 1, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6) AS good, '' AS soft FROM n UNION ALL SELECT o_orderkey, d, 'ein', CASE WHEN substr(d, 1, 2) NOT IN ({', '.join(q(p) for p in EIN_PREFIXES)}) THEN 'invalid_irs_prefix:' || substr(d, 1, 2) END, substr(d, 1, 2) || '-' || substr(d, 3), '' FROM n UNION ALL SELECT o_orderkey, d, 'itin', CASE WHEN d[1] <> '9' THEN 'invalid_prefix:' || d[1] || '!=9' WHEN NOT (substr(d, 4, 2) BETWEEN '50' AND '65' OR substr(d, 4, 2) BETWEEN '70' AND '88' OR substr(d, 4, 2) BETWEEN '90' AND '92' OR substr(d, 4, 2) >= '94') THEN 'invalid_group:' || substr(d, 4, 2) WHEN substr(d, 6) = '0000' THEN 'invalid_serial:0000' END, substr(d, 1, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6), '' FROM n UNION ALL SELECT o_orderkey, d, 'sin_luhn', CASE WHEN NOT ({_LUHN.format(d='d')}) THEN 'luhn_check_failed' END, substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7), CASE WHEN d[1] IN ('0', '8') THEN 'unassigned_prefix:' || d[1] ELSE '' END FROM n) SELECT o_orderkey, validator, bad IS NULL AS ok, CASE WHEN bad IS NULL THEN good ELSE '' END AS normalized, coalesce(bad, soft) AS error FROM e",
     "structural_facts": f"WITH {BLOCKS}, b AS (SELECT doc_id, count(*) AS bc, sum(length(text)) + count(*) - 1 AS cc FROM blocks GROUP BY doc_id), p AS (SELECT page_id AS doc_id, round((page_id % 7 * 200 + 400) / 792.0, 4) AS ar FROM pages), f AS (SELECT doc_id, 1 AS n, coalesce(ar, 0.0)::DOUBLE AS ar, coalesce(ar > 1.05, false) AS land, coalesce(p.doc_id % 2 = 0, false) AS digital, coalesce(bc, 0) AS bc, coalesce(cc, 0) AS cc, doc_id % 4 AS tabs, doc_id % 3 AS marks FROM b FULL JOIN p USING (doc_id)), k AS (SELECT * FROM {values(R.KINDS)} v(doctype_id, category, mrz, wm, wt)) SELECT doc_id, doctype_id, round(greatest(-2.0, least(1.5, {_KIND_SQL})), 4)::DOUBLE AS prior, 1::BIGINT AS page_count, ar AS aspect_ratio, land AS landscape, digital, bc AS block_count, cc::BIGINT AS char_count FROM f, k",
-    "page_islands": "WITH p AS (SELECT conv_id AS doc_id, turn AS page, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS doctype_id, length(text) / 1000 AS c FROM conversations), n AS (SELECT *, CASE WHEN lag(doctype_id) OVER w = doctype_id AND lag(page) OVER w = page - 1 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS s FROM n) SELECT doc_id, doctype_id, min(page) AS start_page, max(page) AS end_page, round(round(avg(c), 4), 3) AS confidence FROM i GROUP BY doc_id, s, doctype_id",
+    "page_islands": "WITH p AS (SELECT conv_id AS doc_id, turn AS page, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS doctype_id, length(text) / 1024 AS c FROM conversations), n AS (SELECT *, CASE WHEN lag(doctype_id) OVER w = doctype_id AND lag(page) OVER w = page - 1 THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS s FROM n) SELECT doc_id, doctype_id, min(page) AS start_page, max(page) AS end_page, round(avg(c), 4) AS confidence FROM i GROUP BY doc_id, s, doctype_id",
     "bundle_boundaries": f"WITH {_BUNDLE}, {_BOUNDS} SELECT * FROM bounds WHERE signal IS NOT NULL",
     "bundle_spans": f"WITH {_BUNDLE}, {_BOUNDS}, s AS (SELECT b.doc_id, b.page, CASE WHEN x.page IS NOT NULL OR coalesce(lag(b.page) OVER w <> b.page - 1, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT doc_id, page FROM bundle) b LEFT JOIN (SELECT doc_id, page FROM bounds WHERE signal IS NOT NULL) x ON x.doc_id = b.doc_id AND x.page = b.page WINDOW w AS (PARTITION BY b.doc_id ORDER BY b.page)), t AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page)::BIGINT AS span FROM s) SELECT doc_id, span, min(page) AS start_page, max(page) AS end_page FROM t GROUP BY doc_id, span",
     "grounded_values": f"WITH t AS (SELECT conv_id, {fold(chr(34) + 't' + chr(34))} AS f FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id)), a AS (SELECT conv_id, 'f' || turn AS name, {fold('substr(text, 5, 12)')} AS v, {fold('CASE WHEN turn % 3 = 2 THEN reverse(text) ELSE substr(text, 1, 60) END')} AS qt FROM conversations) SELECT a.conv_id AS doc_id, a.name, (qt <> '' AND v <> '' AND contains(f, qt) AND contains(qt, v)) AS grounded FROM a JOIN t ON t.conv_id = a.conv_id",
