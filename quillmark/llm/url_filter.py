@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import discard, materialize
+from quillmark.llm._common import discard, materialize, small
 
 DAMPING, STEPS = 0.85, 10
 MOST_DISTRUST = 0.6  # a host with a larger share of distrust is blocked
@@ -79,7 +79,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         good, bad = (s.select("host", (F.col("seed") * (1 - DAMPING)).alias("score")) for s in (good, bad))
     hosts = good.withColumnRenamed("score", "trust").join(bad.withColumnRenamed("score", "distrust"), "host", "full_outer")
     hosts = materialize(hosts.select(F.col("host").alias("_host"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    few = hosts.count() <= 2_000_000
-    p = p.drop("trust", "distrust").join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host"), "left").drop("_host")
+    p = p.drop("trust", "distrust").join(small(hosts, hosts.count()), F.col("host") == F.col("_host"), "left").drop("_host")
     mine = F.when(F.coalesce(F.col("distrust") > MOST_DISTRUST * (F.col("trust") + F.col("distrust")), F.lit(False)), "block").otherwise("allow")
     return p.withColumn("verdict", F.coalesce("verdict", mine)).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
