@@ -60,7 +60,7 @@ def _profiles(spark, sf_dir):
 
 
 def term_profiles(spark, sf_dir):
-    return _profiles(spark, sf_dir).select("class", "term", F.round("z", 3).alias("z"), F.round("weight", 5).alias("weight"))
+    return _profiles(spark, sf_dir).select("class", "term", "z", "weight")
 
 
 def profile_doc_freq(spark, sf_dir):
@@ -73,11 +73,11 @@ def _scores(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select("doc_id", "class", *[F.round(c, 3).alias(c) for c in ("raw", "explained", "coverage")])
+    return _scores(spark, sf_dir)
 
 
 def softmax_rank(spark, sf_dir):
-    s = lexical.softmax(lexical.robust_z(_scores(spark, sf_dir).withColumn("raw", F.round("raw", 3))))
+    s = lexical.softmax(lexical.robust_z(_scores(spark, sf_dir)))
     return verdict.top(s, "doc_id", [F.round("p", 6).desc(), F.col("class")], 2).select("doc_id", "class", F.round("z", 3).alias("z"), F.round("p", 3).alias("p"))
 
 
@@ -95,7 +95,7 @@ def _anchor_scores(spark, sf_dir):
 
 
 def anchor_bits(spark, sf_dir):
-    return _anchor_scores(spark, sf_dir).select("doc_id", "doctype_id", F.round("bits", 3).alias("bits"), F.round("score", 3).alias("score"), F.round("coverage", 3).alias("coverage"))
+    return _anchor_scores(spark, sf_dir).select("doc_id", "doctype_id", "bits", "score", "coverage")
 
 
 def contested_claims(spark, sf_dir):
@@ -106,13 +106,13 @@ def contested_claims(spark, sf_dir):
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document's class, or unknown and why."""
     hits = _anchor_scores(spark, sf_dir).select("doc_id", "doctype_id", "bits", "score", F.col("coverage").alias("anchor_coverage"))
-    lex = _scores(spark, sf_dir).select("doc_id", F.col("class").alias("doctype_id"), F.round("explained", 4).alias("explained"), F.round("coverage", 4).alias("lexical_coverage"))
+    lex = _scores(spark, sf_dir).select("doc_id", F.col("class").alias("doctype_id"), "explained", F.col("coverage").alias("lexical_coverage"))
     s = lex.join(hits, ["doc_id", "doctype_id"], "left").na.fill(0.0, ["bits", "score", "anchor_coverage"]).withColumn("sole_owner", F.lit(False))
     return verdict.decide(s)
 
 
 def verdict_gates(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("doc_id", "doctype_id", "candidate", "abstained", *[F.round(c, 3).alias(c) for c in ("margin", "support", "coverage")], "route", "reason", "runners_up")
+    return verdicts(spark, sf_dir).select("doc_id", "doctype_id", "candidate", "abstained", "margin", "support", "coverage", "route", "reason", "runners_up")
 
 
 def luhn_sweep(spark, sf_dir):
