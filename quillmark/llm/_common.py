@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few numbers may be broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that goes to Python while a table is written.
+ARROW_ROWS = "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, rows = f"{shared_dir(spark)}/{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, ARROW_ROWS)  # rows can hold whole texts and sets
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmark_path = path
     return out

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import arrow_map, longs, materialize, mix, small
+from quillmark.llm._common import arrow_map, discard, longs, materialize, mix, small
 from quillmark.llm.components import connected_components
 from quillmark.llm.words import stretches
 
@@ -126,19 +126,20 @@ def _scan(hot_bits: int):
         counts, docs = np.zeros(hot_bits, np.int32), 0
         shift = np.uint64(64 - hot_bits.bit_length() + 1)
         for b in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, bits = [], [], [], []
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64)))
                 h2.append(int(mix(s ^ np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)))
+                bits.append(sketch(s).tobytes() if len(s) else b"")
                 np.add.at(counts, (s >> shift).astype(np.int64), 1)
             docs += len(n)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), longs(np.array(h1, np.uint64)), longs(np.array(h2, np.uint64))], ["doc_id", "n", "h1", "h2"])
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), longs(np.array(h1, np.uint64)), longs(np.array(h2, np.uint64)), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
         if docs:
             mean = counts.mean()
             at = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + max(1, HOT_SHARE * docs / 2))
             k = len(at) + 1  # negative n marks counters; the first has the number of documents
-            yield pa.record_batch([pa.nulls(k, pa.int64()), longs(np.full(k, -1)), longs(np.r_[-1, at]), longs(np.r_[docs, counts[at]].astype(np.int64))], ["doc_id", "n", "h1", "h2"])
+            yield pa.record_batch([pa.nulls(k, pa.int64()), longs(np.full(k, -1)), longs(np.r_[-1, at]), longs(np.r_[docs, counts[at]].astype(np.int64)), pa.nulls(k, pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
 
     return run
 
@@ -179,8 +180,34 @@ def _index(hot: bytes, fine: frozenset[int]):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = list(shingle_sets(b.column(2)))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["node", "leader", "n", "bits", "sketch"])
+        yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["node", "bits"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, sketch_a, sketch_b) -> the pairs (a, b) that sizes and sketches allow."""
+    for b in batches:
+        keep = []
+        for n, m, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            ok = bool(x and y) and 5 * min(n, m) >= 4 * max(n, m)
+            if ok:
+                w = min(len(x), len(y)) // 8
+                ok = 9 * int(np.bitwise_count(fold(np.frombuffer(x, np.uint64), w) ^ fold(np.frombuffer(y, np.uint64), w)).sum()) <= n + m
+            keep.append(ok)
+        yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their whole sets. Sets are made for the documents of the pairs only; ids are
+    broadcast if their count allows, else joined by shuffle."""
+    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = docs.join(small(nodes, nodes.count()), docs.doc_id == nodes.node).select("node", "text")
+    sets = materialize(arrow_map(wanted, _sets, "node long, bits binary"))
+    seconds = materialize(pairs.select("b").distinct())
+    second = sets.join(small(seconds, seconds.count()), sets.node == seconds.b, "left_semi").select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), "bits"), "a").join(second, "b").select("a", "b", "bits", "bits_b")
+    links = materialize(arrow_map(joined, _verify, "a long, b long").distinct())
+    discard(sets)
+    return links
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +269,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links with nothing and has a null component. Repeated texts link. Other columns are not returned.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = materialize(arrow_map(docs, _scan(COUNTERS), "doc_id long, n long, h1 long, h2 long"))
+    scan = materialize(arrow_map(docs, _scan(COUNTERS), "doc_id long, n long, h1 long, h2 long, sketch binary"))
     meta = scan.where("n >= 0")
 
     counted = scan.where("n < 0").groupBy("h1").agg(F.sum("h2").alias("c"))
@@ -263,15 +290,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # first round: each document against the leader with which it shares most signatures
     first = shared.where("node != leader").groupBy("node", "leader").count().groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    first = materialize(first)
-    alone = shared.select(F.col("leader").alias("node")).distinct().join(first.select("node"), "node", "left_anti")
-    nodes = materialize(first.select("node", "leader").union(alone.select("node", F.lit(None).cast("long"))))
-    k = nodes.count()
-    involved = docs.join(small(nodes, k), docs.doc_id == nodes.node).select("node", "leader", "text")
-    sets = materialize(arrow_map(involved, _sets, "node long, leader long, n long, bits binary, sketch binary"))
-    other = sets.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    near = sets.where("leader is not null").join(other, F.col("leader") == F.col("b")).select(F.col("node").alias("a"), "b", "bits", "bits_b")
-    links = materialize(arrow_map(near, _verify, "a long, b long"))
+    about = meta.where("n > 0 and doc_id is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n", "sketch"])
+    one, two = (about.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+    near = first.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    links = verified(materialize(arrow_map(near, _possible, "a long, b long").distinct()), docs)
 
     # exact copies: everyone links with the smallest id of the same set
     copies = meta.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -282,15 +304,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # second round: pairs that share a signature but no component yet
     labelled = shared.select("sig", "node").join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rows = labelled.join(mixed, "sig").distinct().join(sets.select("node", "n", "sketch").distinct(), "node")
+    rows = labelled.join(mixed, "sig").distinct().join(about.withColumnRenamed("doc_id", "node"), "node")
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).withColumn("blocks", ((F.max("k").over(by_sig) - 1) / BLOCK).cast("int") + 1).withColumn("own", ((F.col("k") - 1) / BLOCK).cast("int"))
     dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("is_left"), "node", "component", "n", "sketch")
     dealt = dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
     pairs = materialize(arrow_map(dealt, _cross, "a long, b long").distinct())
     if pairs.limit(1).count():
-        one = sets.select(F.col("node").alias("a"), "bits")
-        more = arrow_map(pairs.join(one, "a").join(other, "b").select("a", "b", "bits", "bits_b"), _verify, "a long, b long")
-        comps = connected_components(edges.union(more))
+        comps = connected_components(edges.union(verified(pairs, docs)))
     return meta.join(comps, meta.doc_id == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
