@@ -303,7 +303,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     # second round: pairs that share a signature but no component yet
     labelled = shared.select("sig", "node").join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    # groups with the same members give the same pairs: of those with equal sums of two hashes of the members one stays
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(20,0)"))
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), total(1).alias("t1"), total(2).alias("t2")).where("lo < hi")
+    mixed = mixed.groupBy("k", "t1", "t2").agg(F.min("sig").alias("sig")).select("sig")
     rows = labelled.join(mixed, "sig").distinct().join(about.withColumnRenamed("doc_id", "node"), "node")
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).withColumn("blocks", ((F.max("k").over(by_sig) - 1) / BLOCK).cast("int") + 1).withColumn("own", ((F.col("k") - 1) / BLOCK).cast("int"))
     dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("is_left"), "node", "component", "n", "sketch")
