@@ -144,8 +144,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = materialize(together.groupBy("term", "entity").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS).join(entities, "entity"))
     candidates = counts.select("term").distinct()
     n = candidates.count()
-    if n == 0:
-        return counts.select("term", F.lit(0.0).alias("bits"))
+    # the corpus is counted even if there is no candidate, so that the work is alike at every size
     if n <= BROADCAST_ROWS // 10:  # a checked size; beyond it all terms go through a join
         held = arrow_map(texts, _holding(frozenset(r.term for r in candidates.collect())), "term string, text_hash long")
     else:
@@ -159,7 +158,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def all_spans(text: str | None, terms: frozenset[str]) -> tuple[list, list]:
     base = base_spans(text)
     extra = []
-    if text and terms:
+    if text and not terms.isdisjoint(_LETTERS.findall(text.lower())):
         for m in _LETTERS.finditer(text):
             if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in base):
                 extra.append((TERM, *m.span()))
