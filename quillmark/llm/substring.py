@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of RUN consecutive sentences with at least MIN_WORDS words is hashed.
+A text is cut into sentences. From each sentence on, and back from each sentence, the shortest run of at least RUN
+sentences with at least MIN_WORDS words is hashed, so each repeated passage of that size is covered by such runs.
 Runs are joined globally on their hash; of equal runs the first (by document id, text hash and place) stays, and
 the sentences of every other one are removed.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -16,14 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import arrow_map, materialize, small
+from quillmark.llm._common import arrow_map, materialize
 
 RUN, MIN_WORDS = 2, 10
-_END = re.compile(r"[.!?。！？]+(?=[\s]|$)|\n")
+LENGTHS = 16  # a run's place is LENGTHS * (its first sentence) + its number of sentences; each sentence has a word, so MIN_WORDS bounds that number
+_END = re.compile(r"[.!?。！？]*[。！？]|[.!?]+(?=[\s]|$)|\n")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the sentences: cut after closing marks before white space, and at line ends. They cover the text."""
+    """(start, end) of the sentences: cut after closing marks before white space, after full-width ones, and at line ends. They cover the text."""
     if not text:
         return []
     out, at = [], 0
@@ -42,15 +46,40 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def n_words(words: list[str]) -> int:
+    """The words between blanks; two characters of a script without blanks are one word."""
+    n = len(words)
+    for w in words:
+        if not w.isascii() and (k := len(_UNSPACED.findall(w))) > 2:
+            n += (k - 1) // 2
+    return n
+
+
+def runs_of(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first sentence, number of sentences) of the shortest runs of at least RUN sentences and MIN_WORDS words that begin, or end, at each sentence."""
+    n, sums = len(sizes), [0, *accumulate(sizes)]
+    out, end = [], 0
+    for k in range(n - RUN + 1):
+        end = max(end, k + RUN)
+        while end < n and sums[end] - sums[k] < MIN_WORDS:
+            end += 1
+        if sums[end] - sums[k] < MIN_WORDS:
+            break
+        out.append((k, end - k))
+    seen, start = set(out), 0
+    for end in range(RUN, n + 1):
+        while start + 1 <= end - RUN and sums[end] - sums[start + 1] >= MIN_WORDS:
+            start += 1
+        if sums[end] - sums[start] >= MIN_WORDS and (start, end - start) not in seen:
+            out.append((start, end - start))
+    return out
+
+
 def run_hashes(text: str | None) -> list[tuple[int, int]]:
-    """(place of the first sentence, hash) of every run; case and white space don't count."""
+    """(place, hash) of every run; case and white space don't count."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
-    out = []
-    for k in range(len(words) - RUN + 1):
-        run = words[k : k + RUN]
-        if sum(map(len, run)) >= MIN_WORDS:
-            out.append((k, xxhash.xxh3_64_intdigest("\n".join(" ".join(w) for w in run).encode("utf-8", "surrogatepass")) - (1 << 63)))
-    return out
+    lines = [" ".join(w) for w in words]
+    return [(k * LENGTHS + n, xxhash.xxh3_64_intdigest("\n".join(lines[k : k + n]).encode("utf-8", "surrogatepass")) - (1 << 63)) for k, n in runs_of([n_words(w) for w in words])]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +100,7 @@ def _cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     rows = []
     for t, p in zip(text, places):
         s = sentences(t)
-        gone = {k + j for k in (p if p is not None else ()) for j in range(RUN)}
+        gone = {k // LENGTHS + j for k in (p if p is not None else ()) for j in range(k % LENGTHS)}
         cut = [s[k] for k in sorted(gone)]
         merged: list[list[int]] = []
         for a, b in cut:
@@ -95,9 +124,9 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     t = docs.withColumn("_tie", F.xxhash64(text_col))
     runs = materialize(arrow_map(t.select(F.col(id_col).cast("long").alias("id"), "_tie", F.col(text_col).alias("text")).where(F.length("text") > 0), _runs, "h long, id long, tie long, place int"))
     repeated = materialize(runs.groupBy("h").agg(F.min(F.struct("id", "tie", "place")).alias("first"), F.max(F.struct("id", "tie", "place")).alias("last")).where("first < last").select("h", "first"))
-    later = runs.join(small(repeated, repeated.count()), "h").where(F.struct("id", "tie", "place") != F.col("first")).groupBy("id", "tie").agg(F.collect_set("place").alias("_places"))
+    # always by shuffle: the repeated runs and the texts that hold them grow with the corpus
+    later = runs.join(repeated.hint("merge"), "h").where(F.struct("id", "tie", "place") != F.col("first")).groupBy("id", "tie").agg(F.collect_set("place").alias("_places"))
     later = materialize(later)
-    n = later.agg(F.sum(F.size("_places"))).first()[0] or 0
     cut = F.pandas_udf(_cut, "text string, n_sentences int, n_removed int, removed_words long, spans string")
-    joined = t.join(small(later, n), F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
+    joined = t.join(later.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
     return joined.select(*[F.col(c) for c in docs.columns if c != "cut"], cut(F.col(text_col), F.col("_places")).alias("cut"))

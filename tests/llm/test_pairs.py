@@ -203,6 +203,31 @@ def test_substring_dedup_odd_rows(spark):
     assert substring.remove_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_substring_dedup_of_short_sentences(spark):
+    r = random.Random(11)
+    own = lambda n: " ".join(" ".join(f"u{r.randrange(10**9)}" for _ in range(6)) + "." for _ in range(n))
+    passage = " ".join(f"a{k} b{k} c{k}." for k in range(20))  # 60 words
+    words = " ".join(f"W{k}!!" for k in range(60))
+    han = "".join("".join(chr(0x4E00 + r.randrange(20000)) for _ in range(7)) + "。" for _ in range(10))
+    rows = [(k, f"{own(2)} {t} {own(2)}") for k, t in enumerate((passage, passage, words, words, han, han))]
+    got = {x.doc_id: x.cut.text for x in substring.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, t in enumerate((passage, words, han)):
+        assert got[2 * k] == rows[2 * k][1]
+        assert got[2 * k + 1].split() == rows[2 * k + 1][1].replace(t, "").split()
+
+
+def test_runs_cover_every_passage():
+    r = random.Random(12)
+    for _ in range(300):
+        sizes = [r.choice([1, 1, 2, 3, 5, 12]) for _ in range(r.randrange(14))]
+        runs = substring.runs_of(sizes)
+        assert len(set(runs)) == len(runs) and all(n >= substring.RUN and n < substring.LENGTHS and sum(sizes[k : k + n]) >= substring.MIN_WORDS for k, n in runs)
+        for a in range(len(sizes)):
+            for b in range(a + substring.RUN, len(sizes) + 1):
+                inside = {k + j for k, n in runs if a <= k and k + n <= b for j in range(n)}
+                assert inside == (set(range(a, b)) if sum(sizes[a:b]) >= substring.MIN_WORDS else set())
+
+
 def test_sentences_cover_the_text():
     for t in ("", "a", ". . .", "A b. C d!\n\nE", "  lead. x", "no end", "a.b.c d. ", "\n\n"):
         s = substring.sentences(t)
