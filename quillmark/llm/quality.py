@@ -1,50 +1,73 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Word unigrams and bigrams are hashed into BUCKETS. Two multinomials with additive smoothing are counted: over a
-bounded sample of trusted texts, and over the whole corpus. A document's score is its mean log-likelihood ratio
-per n-gram (length-normalised); every document is decided by one fixed threshold. All of it is built-in
-expressions; the ratio table has a fixed number of entries.
+Word unigrams and bigrams are hashed into buckets whose number follows the n-grams of the corpus. Two multinomials
+with additive smoothing are counted: over all trusted texts, and over the whole corpus. A document's score is its
+mean log-likelihood ratio per n-gram (length-normalised); every document is decided by one fixed threshold. All of
+it is built-in expressions; the ratios are a table that the n-grams are joined with.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import materialize
+from quillmark.llm._common import materialize, small
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 14  # at least
+GRAMS_A_BUCKET = 64  # n-grams of the corpus for each bucket, at most; sf0.01 has 48 with BUCKETS
+PACK = 64  # buckets in a row of the ratio table
+PACKED_ROWS = 1 << 18  # a ratio table of so many rows (64 MB) may be broadcast
 SMOOTHING = 1.0
-TARGET_ROWS = 200_000  # bound of the trusted sample
 LEAST_RATIO = -0.1
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = "' \\t\\n\\u000B\\f\\r'"
 
 
-def words_and_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds _w, the words of the whole text, and _g, the buckets of its lower-cased unigrams and bigrams.
+def words_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds _w, the words of the whole text.
 
     The condition on the row number always holds. It keeps the optimizer from moving a filter below this step and
     so from splitting the text again for every element that a lambda looks at.
     """
     text = f"btrim(coalesce(`{text_col}`, ''), {_BLANKS})"
-    d = docs.withColumn("_w", F.expr(f"if(monotonically_increasing_id() < 0 or {text} = '', array(), split({text}, r'{SPACE}'))"))
+    return docs.withColumn("_w", F.expr(f"if(monotonically_increasing_id() < 0 or {text} = '', array(), split({text}, r'{SPACE}'))"))
+
+
+def words_and_grams(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """Adds _w, the words of the whole text, and _g, the buckets of its lower-cased unigrams and bigrams."""
+    d = words_of(docs, text_col)
     d = d.withColumn("_l", F.split(F.lower(F.array_join("_w", " ")), " "))
-    return d.withColumn("_g", F.expr(f"if(size(_w) = 0, array(), concat(transform(_l, x -> cast(pmod(xxhash64(x), {BUCKETS}) as int)), slice(transform(_l, (x, i) -> cast(pmod(xxhash64(x, get(_l, i + 1)), {BUCKETS}) as int)), 1, size(_l) - 1)))")).drop("_l")
+    return d.withColumn("_g", F.expr(f"if(size(_w) = 0, array(), concat(transform(_l, x -> cast(pmod(xxhash64(x), {buckets}) as int)), slice(transform(_l, (x, i) -> cast(pmod(xxhash64(x, get(_l, i + 1)), {buckets}) as int)), 1, size(_l) - 1)))")).drop("_l")
+
+
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """The power of two that leaves at most GRAMS_A_BUCKET n-grams of the corpus for a bucket; at least BUCKETS."""
+    n = words_of(docs.select(text_col), text_col).agg(F.sum(F.expr("greatest(0, 2L * size(_w) - 1)"))).first()[0] or 0
+    return max(BUCKETS, 1 << (-(-n // GRAMS_A_BUCKET) - 1).bit_length()) if n else BUCKETS
+
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
+    """(pack, ratios): log(p_target / p_raw) of the buckets from pack * PACK on. trusted: (doc_id), all of them are counted."""
+    chosen = materialize(trusted.where("doc_id is not null").select("doc_id").distinct())
+    d = docs.join(small(chosen.withColumn("_t", F.lit(1)), chosen.count()), "doc_id", "left")
+    grams = words_and_grams(d.select(text_col, "_t"), text_col, buckets).select(F.explode_outer("_g").alias("g"), "_t").where("g is not null")
+    counted = materialize(grams.groupBy("g").agg(F.count("*").alias("raw"), F.count("_t").alias("target")))
+    raw, target = (x or 0 for x in counted.agg(F.sum("raw"), F.sum("target")).first())
+    more = SMOOTHING * buckets
+    ratio = F.log((F.col("target") + SMOOTHING) / (target + more)) - F.log((F.col("raw") + SMOOTHING) / (raw + more))
+    packed = counted.select(F.expr(f"cast(g div {PACK} as int)").alias("pack"), F.struct((F.col("g") % PACK).alias("k"), ratio.cast("float").alias("v")).alias("e"))
+    packed = packed.groupBy("pack").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    return materialize(packed.select("pack", F.expr(f"transform(sequence(0, {PACK - 1}), k -> m[k])").alias("ratios")))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log(p_target / p_raw) of each bucket. trusted: (doc_id); the TARGET_ROWS with the smallest hash are used."""
-    chosen = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
-    d = docs.join(F.broadcast(chosen.withColumn("_t", F.lit(1))), "doc_id", "left")
-    grams = words_and_grams(d.select(text_col, "_t"), text_col).select(F.explode_outer("_g").alias("g"), "_t").where("g is not null")
-    counted = grams.groupBy("g").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    for g, a, b in counted.collect():  # at most BUCKETS rows
-        raw[g] += a
-        target[g] += b
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+def mean_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(_key, ratio) for each distinct text with words; _key is the hash of the text. Equal texts leave the mean as it is."""
+    buckets = bucket_count(docs, text_col)
+    table = ratio_table(docs, trusted, buckets, text_col)
+    grams = words_and_grams(docs.select(text_col), text_col, buckets).select(F.xxhash64(text_col).alias("_key"), F.explode_outer("_g").alias("g")).where("g is not null")  # explode would filter on _g, and so compute it again for every element
+    grams = grams.select("_key", F.expr(f"cast(g div {PACK} as int)").alias("pack"), (F.col("g") % PACK).alias("k"))
+    table = F.broadcast(table) if buckets <= PACK * PACKED_ROWS else table.hint("shuffle_hash")
+    return grams.join(table, "pack").groupBy("_key").agg(F.avg(F.get("ratios", F.col("k"))).alias("ratio"))
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", least: float = LEAST_RATIO) -> DataFrame:
@@ -55,10 +78,10 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", l
     smoothed uniform target. Repeated rows get equal results; an empty table stays empty. Columns of docs with
     the names of the result are replaced.
     """
-    table = F.expr("cast(split('" + ",".join(f"{x:.9g}" for x in ratio_table(docs, trusted, text_col)) + "', ',') as array<double>)")  # folded into one literal
+    ratios = mean_ratios(docs, trusted, text_col).withColumnRenamed("ratio", "_ratio")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     t = f"coalesce(`{text_col}`, '')"
-    d = words_and_grams(docs.drop(*[n for n in names if n != text_col]), text_col)
+    d = words_of(docs.drop(*[n for n in names if n != text_col]), text_col).withColumn("_key", F.xxhash64(text_col))
     d = d.withColumn("n_words", F.expr("cast(size(_w) as long)")).withColumn("word_chars", F.expr("cast(length(array_join(_w, '')) as long)"))
     d = d.withColumn("n_symbols", F.expr(f"cast(length({t}) - length(regexp_replace({t}, r'[#*$%&|<>]', '')) as long)"))
     d = d.withColumn("_lines", F.expr(rf"filter(split({t}, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')")).withColumn("n_dup_lines", F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)"))
@@ -69,5 +92,5 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", l
     d = d.withColumn("_at", F.expr(f"sort_array(transform(filter(_s, (x, i) -> {same('x', 'if(i > 0, get(_s, i - 1), null)')} or {same('x', 'get(_s, i + 1)')}), x -> cast(x & (shiftleft(1L, _p) - 1) as int)))"))
     d = d.withColumn("n_repeat_words", F.expr("aggregate(transform(_at, (x, i) -> least(3, coalesce(get(_at, i + 1) - x, 3))), 0L, (a, x) -> a + x)"))
     d = d.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    d = d.withColumn("ratio", F.when(F.size("_g") == 0, 0.0).otherwise(F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, g)) / F.size("_g")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least)).drop("_w", "_g", "_lines", "_p", "_s", "_at")
+    d = d.drop("_w", "_lines", "_p", "_s", "_at").join(ratios.hint("merge"), "_key", "left").withColumn("ratio", F.coalesce("_ratio", F.lit(0.0)))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least)).drop("_key", "_ratio")

@@ -138,6 +138,30 @@ def test_quality_against_brute_force(spark):
     assert quality.judge_quality(df.limit(0), spark.createDataFrame([], "doc_id long")).collect() == []
 
 
+def test_quality_gathers_with_the_corpus(spark, monkeypatch):
+    every = spark.range(200_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 50).alias("text"))
+    assert quality.judge_quality(every, every.select("doc_id")).where("abs(ratio) > 1e-9").count() == 0  # all trusted rows are counted
+    r = random.Random(10)
+    rows = [(k, " ".join(f"q{r.randrange(900)}" for _ in range(r.choice([0, 1, 70, 200])))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(quality, "GRAMS_A_BUCKET", 1)
+    n = sum(max(0, 2 * len(t.split()) - 1) for _, t in rows)
+    buckets = quality.bucket_count(df)
+    assert buckets > quality.BUCKETS and n <= buckets < 2 * n
+    grams = {x.doc_id: x.g for x in quality.words_and_grams(df, buckets=buckets).select("doc_id", F.col("_g").alias("g")).collect()}
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for i, g in grams.items():
+        np.add.at(raw, g, 1)
+        if i % 2:
+            np.add.at(target, g, 1)
+    table = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for rows_of_table in (quality.PACKED_ROWS, 0):  # broadcast and shuffled
+        monkeypatch.setattr(quality, "PACKED_ROWS", rows_of_table)
+        got = quality.judge_quality(df, df.where("doc_id % 2 = 1").select("doc_id")).collect()
+        assert len(got) == len(rows)
+        assert all(math.isclose(x.ratio, float(np.mean(table[grams[x.doc_id]])) if grams[x.doc_id] else 0.0, abs_tol=1e-6) for x in got)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
