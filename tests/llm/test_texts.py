@@ -113,53 +113,86 @@ def brute_quality(t):
     return (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), base)
 
 
+def brute_ratios(rows, trusted, buckets, bucket_of):
+    """Mean log-likelihood ratios by a separate count of words and pairs of words, and the threshold that trusted texts set."""
+    grams = {}
+    for k, (i, t) in enumerate(rows):
+        w = [x.lower() for x in WORD.findall(t or "")]
+        grams[k] = [bucket_of[x] for x in [*w, *zip(w, w[1:])]]
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for k, (i, _) in enumerate(rows):
+        np.add.at(raw, grams[k], 1)
+        if i in trusted:
+            np.add.at(target, grams[k], 1)
+    table = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    ratio = {k: float(np.mean(table[g])) if g else 0.0 for k, g in grams.items()}
+    texts = {t: ratio[k] for k, (i, t) in enumerate(rows) if i in trusted and grams[k]}
+    steps = sorted(math.floor(v * 1000) / 1000 for v in texts.values())
+    low, high = (steps[math.ceil(len(steps) * q) - 1] for q in (0.25, 0.75))
+    return ratio, low - quality.DISTANCES * max(quality.LEAST_DISTANCE, high - low)
+
+
+def hashed_grams(spark, rows, buckets):
+    """The bucket of every word and pair of words of rows, hashed one by one."""
+    seen = set()
+    for _, t in rows:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        seen.update((x, None) for x in w)
+        seen.update(zip(w, w[1:]))
+    df = spark.createDataFrame([(a, b) for a, b in seen], "a string, b string")
+    got = df.select("a", "b", F.expr(f"pmod(if(b is null, xxhash64(a), xxhash64(a, b)), {buckets})").alias("g")).collect()
+    return {(x.a if x.b is None else (x.a, x.b)): x.g for x in got}
+
+
 def test_quality_against_brute_force(spark):
     r = random.Random(7)
     rows = [*enumerate(ODD), (7, "a b c a b c"), (8, "a a a a"), (9, "x\ny\nx\n\n \n\tx"), (10, "one # two ** <|> &"), (11, "\u2028a\u2028 b\xa0c")]
     rows += [(20 + k, "\n".join(" ".join(f"q{r.randrange(r.choice([3, 30, 900]))}" for _ in range(r.choice([1, 5, 60]))) for _ in range(r.randrange(1, 6)))) for k in range(150)]
-    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_words int").repartition(3)
-    trusted = [i for i, _ in rows if i % 2]
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, n_words int, ratio string").repartition(3)
+    trusted = {i for i, _ in rows if i % 2}
     got = quality.judge_quality(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
-    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
-    grams = {x.doc_id: x.g for x in quality.words_and_grams(df).select("doc_id", F.col("_g").alias("g")).collect()}
-    for i, g in grams.items():
-        np.add.at(raw, g, 1)
-        if i in trusted:
-            np.add.at(target, g, 1)
-    table = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert got.columns[:2] == ["doc_id", "text"] and len(set(got.columns)) == len(got.columns)
+    want, least = brute_ratios(rows, trusted, quality.BUCKETS, hashed_grams(spark, rows, quality.BUCKETS))
+    want = {i: want[k] for k, (i, _) in enumerate(rows)}
     for x in got.collect():
         t = dict(rows)[x.doc_id]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute_quality(t), t
-        want = float(np.mean(table[grams[x.doc_id]])) if grams[x.doc_id] else 0.0
-        assert math.isclose(x.ratio, want, abs_tol=1e-6) and x.kept == (not x.base_failed and x.ratio >= quality.LEAST_RATIO)
-        n = x.n_words
-        assert len(grams[x.doc_id]) == max(0, 2 * n - 1)
-    assert got.where("kept").count() >= 0
+        assert math.isclose(x.ratio, want[x.doc_id], abs_tol=1e-6)
+        if abs(x.ratio - least) > 1e-6:
+            assert x.kept == (not x.base_failed and x.ratio >= least)
     assert quality.judge_quality(df.limit(0), spark.createDataFrame([], "doc_id long")).collect() == []
 
 
+def test_quality_threshold_and_ties(spark):
+    rows = [(k, " ".join(f"z{(k * 7 + j) % 90}" for j in range(60))) for k in range(40)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    got = quality.judge_quality(df, spark.createDataFrame([], "doc_id long"), least=0.5).collect()
+    ratio = {x.doc_id: x.ratio for x in got}
+    assert len(got) == 43 and not any(x.kept for x in got if x.ratio < 0.5)
+    at = quality.judge_quality(df, spark.createDataFrame([], "doc_id long"), least=ratio[5]).collect()
+    assert next(x for x in at if x.doc_id == 5).kept  # a ratio equal to the threshold
+    junk = [(1000 + k, " ".join(f"j{(k * 13 + j) % 97}" for j in range(60))) for k in range(10)]
+    both = spark.createDataFrame(rows + junk, "doc_id long, text string")
+    kept = {x.doc_id: x.kept for x in quality.judge_quality(both, spark.createDataFrame([(k,) for k in range(40)], "doc_id long")).collect()}
+    assert all(kept[k] for k, _ in rows) and not any(kept[k] for k, _ in junk)
+
+
 def test_quality_gathers_with_the_corpus(spark, monkeypatch):
     every = spark.range(200_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 50).alias("text"))
     assert quality.judge_quality(every, every.select("doc_id")).where("abs(ratio) > 1e-9").count() == 0  # all trusted rows are counted
     r = random.Random(10)
     rows = [(k, " ".join(f"q{r.randrange(900)}" for _ in range(r.choice([0, 1, 70, 200])))) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(quality, "GRAMS_A_BUCKET", 1)
-    n = sum(max(0, 2 * len(t.split()) - 1) for _, t in rows)
+    n = sum(len(t) for _, t in rows)
+    assert quality.bucket_count(df) == quality.BUCKETS
+    monkeypatch.setattr(quality, "AT_CHARS", n // 4)
     buckets = quality.bucket_count(df)
-    assert buckets > quality.BUCKETS and n <= buckets < 2 * n
-    grams = {x.doc_id: x.g for x in quality.words_and_grams(df, buckets=buckets).select("doc_id", F.col("_g").alias("g")).collect()}
-    raw, target = np.ones(buckets), np.ones(buckets)
-    for i, g in grams.items():
-        np.add.at(raw, g, 1)
-        if i % 2:
-            np.add.at(target, g, 1)
-    table = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert buckets % quality.PACK == 0 and abs(buckets / (quality.AT_BUCKETS * 4**quality.GROWTH) - 1) < 0.01
+    want, _ = brute_ratios(rows, {i for i, _ in rows if i % 2}, buckets, hashed_grams(spark, rows, buckets))
     for rows_of_table in (quality.PACKED_ROWS, 0):  # broadcast and shuffled
         monkeypatch.setattr(quality, "PACKED_ROWS", rows_of_table)
         got = quality.judge_quality(df, df.where("doc_id % 2 = 1").select("doc_id")).collect()
-        assert len(got) == len(rows)
-        assert all(math.isclose(x.ratio, float(np.mean(table[grams[x.doc_id]])) if grams[x.doc_id] else 0.0, abs_tol=1e-6) for x in got)
+        assert len(got) == len(rows) and all(math.isclose(x.ratio, want[x.doc_id], abs_tol=1e-6) for x in got)
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -292,6 +325,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert none.where("toxic or score != 0").count() == 0 and none.count() == len(rows) + 3
 
 
+def naive_score(m, text):
+    """The score by plain loops over words, windows and filters."""
+    rows = [f for f, _ in toxicity.features_of(pa.array([text], pa.string()))]
+    words = [m.embed[list(x)].sum(axis=0) for f in rows for x in f] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    z = m.out_bias
+    for q, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(words[k + j] @ m.filters[w][j][:, f]) for j in range(w)) for k in range(len(words) - w + 1))
+            z += m.out[q * toxicity.FILTERS + f] * max(0.0, best + m.bias[w][f])
+    return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+
+def test_scores_equal_a_naive_convolution():
+    rows, labels = toxic_rows(random.Random(6), 200)
+    m = toxicity.train([t for _, t, _ in rows], np.array([y for _, y in labels]), epochs=2)
+    texts = [None, "", " ", "vile", "... !", "w1 foulness w2", *[t for _, t, _ in rows[:25]], " ".join(f"w{k % 700}" for k in range(40_000)) + " foulest"]
+    assert np.allclose(toxicity.score_texts(m, pa.array(texts, pa.string())), [naive_score(m, t) for t in texts], atol=1e-4)
+
+
+def ranked_share(scores, y):
+    """Share of (positive, negative) pairs in the right order."""
+    return float(np.mean([(a > b) + 0.5 * (a == b) for a in scores[y == 1] for b in scores[y == 0]]))
+
+
+def test_the_convolution_learns_from_a_random_start():
+    rows, labels = toxic_rows(random.Random(8), 900)
+    texts, y = [t for _, t, _ in rows], np.array([c for _, c in labels])
+    auc = [ranked_share(toxicity.score_texts(toxicity.train(texts[:600], y[:600], epochs=n), pa.array(texts[600:])), y[600:]) for n in (0, toxicity.EPOCHS)]
+    assert auc[0] < 0.7 and auc[1] > 0.95
+
+
 def test_scores_do_not_depend_on_neighbours():
     rows, labels = toxic_rows(random.Random(4), 300)
     m = toxicity.train([t for _, t, _ in rows], np.array([y for _, y in labels]))
