@@ -1,9 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Word unigrams and bigrams are hashed into buckets whose number follows the n-grams of the corpus. Two multinomials
-with additive smoothing are counted: over all trusted texts, and over the whole corpus. A document's score is its
-mean log-likelihood ratio per n-gram (length-normalised); every document is decided by one fixed threshold. All of
-it is built-in expressions; the ratios are a table that the n-grams are joined with.
+Word unigrams and bigrams are hashed into buckets whose number grows with the corpus. Two multinomials with additive
+smoothing are counted: over all trusted texts, and over the whole corpus. A document's score is its mean
+log-likelihood ratio per n-gram (length-normalised). Every document is decided by one threshold, which the trusted
+texts set: as far below their lower quartile as a fixed number of their quartile distances. All of it is built-in
+expressions; the ratios are a table that the n-grams are joined with.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from quillmark.llm._common import materialize, small
 
 BUCKETS = 1 << 14  # at least
-GRAMS_A_BUCKET = 64  # n-grams of the corpus for each bucket, at most; sf0.01 has 48 with BUCKETS
+AT_CHARS, AT_BUCKETS, GROWTH = 25_000_000, 1 << 17, 0.4  # buckets follow the corpus as distinct n-grams do, by a power below 1
 PACK = 64  # buckets in a row of the ratio table
-PACKED_ROWS = 1 << 18  # a ratio table of so many rows (64 MB) may be broadcast
+PACKED_ROWS = 1 << 20  # a ratio table of so many rows (256 MB) may be broadcast
 SMOOTHING = 1.0
-LEAST_RATIO = -0.1
+DISTANCES, LEAST_DISTANCE = 6.0, 0.01  # quartile distances below the trusted lower quartile, and the least such distance
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = "' \\t\\n\\u000B\\f\\r'"
 
@@ -41,16 +42,20 @@ def words_and_grams(docs: DataFrame, text_col: str = "text", buckets: int = BUCK
 
 
 def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
-    """The power of two that leaves at most GRAMS_A_BUCKET n-grams of the corpus for a bucket; at least BUCKETS."""
-    n = words_of(docs.select(text_col), text_col).agg(F.sum(F.expr("greatest(0, 2L * size(_w) - 1)"))).first()[0] or 0
-    return max(BUCKETS, 1 << (-(-n // GRAMS_A_BUCKET) - 1).bit_length()) if n else BUCKETS
+    """AT_BUCKETS for a corpus of AT_CHARS code points, growing by the power GROWTH of its size; at least BUCKETS."""
+    n = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(BUCKETS, int(AT_BUCKETS * (n / AT_CHARS) ** GROWTH) // PACK * PACK)
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
-    """(pack, ratios): log(p_target / p_raw) of the buckets from pack * PACK on. trusted: (doc_id), all of them are counted."""
+def with_trust(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, _t): _t is 1 for rows whose doc_id is trusted, else null."""
     chosen = materialize(trusted.where("doc_id is not null").select("doc_id").distinct())
-    d = docs.join(small(chosen.withColumn("_t", F.lit(1)), chosen.count()), "doc_id", "left")
-    grams = words_and_grams(d.select(text_col, "_t"), text_col, buckets).select(F.explode_outer("_g").alias("g"), "_t").where("g is not null")
+    return docs.join(small(chosen.withColumn("_t", F.lit(1)), chosen.count()), "doc_id", "left").select(text_col, "_t")
+
+
+def ratio_table(docs: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
+    """(pack, ratios): log(p_target / p_raw) of the buckets from pack * PACK on. docs: (text, _t) of with_trust()."""
+    grams = words_and_grams(docs, text_col, buckets).select(F.explode_outer("_g").alias("g"), "_t").where("g is not null")
     counted = materialize(grams.groupBy("g").agg(F.count("*").alias("raw"), F.count("_t").alias("target")))
     raw, target = (x or 0 for x in counted.agg(F.sum("raw"), F.sum("target")).first())
     more = SMOOTHING * buckets
@@ -60,25 +65,42 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, text_col: str
     return materialize(packed.select("pack", F.expr(f"transform(sequence(0, {PACK - 1}), k -> m[k])").alias("ratios")))
 
 
-def mean_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_key, ratio) for each distinct text with words; _key is the hash of the text. Equal texts leave the mean as it is."""
-    buckets = bucket_count(docs, text_col)
-    table = ratio_table(docs, trusted, buckets, text_col)
-    grams = words_and_grams(docs.select(text_col), text_col, buckets).select(F.xxhash64(text_col).alias("_key"), F.explode_outer("_g").alias("g")).where("g is not null")  # explode would filter on _g, and so compute it again for every element
-    grams = grams.select("_key", F.expr(f"cast(g div {PACK} as int)").alias("pack"), (F.col("g") % PACK).alias("k"))
+def mean_ratios(docs: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
+    """(_key, ratio, trusted) for each distinct text with words; _key is the hash of the text. Equal texts leave the mean as it is."""
+    table = ratio_table(docs, buckets, text_col)
+    grams = words_and_grams(docs, text_col, buckets).select(F.xxhash64(text_col).alias("_key"), "_t", F.explode_outer("_g").alias("g")).where("g is not null")  # explode would filter on _g, and so compute it again for every element
+    grams = grams.select("_key", "_t", F.expr(f"cast(g div {PACK} as int)").alias("pack"), (F.col("g") % PACK).alias("k"))
     table = F.broadcast(table) if buckets <= PACK * PACKED_ROWS else table.hint("shuffle_hash")
-    return grams.join(table, "pack").groupBy("_key").agg(F.avg(F.get("ratios", F.col("k"))).alias("ratio"))
+    return grams.join(table, "pack").groupBy("_key").agg(F.avg(F.get("ratios", F.col("k"))).alias("ratio"), F.max("_t").alias("trusted"))
+
+
+def threshold(ratios: DataFrame) -> float:
+    """DISTANCES quartile distances of the trusted texts' ratios below their lower quartile; 0 without trusted texts.
+    The quartiles come from counts of ratios in steps of 0.001, so they are the same whatever the order of rows."""
+    steps = ratios.where("trusted = 1").groupBy(F.floor(F.col("ratio") * 1000).alias("step")).count().orderBy("step").collect()  # ratios are logarithms: a few thousand steps
+    total = sum(r["count"] for r in steps)
+    if not total:
+        return 0.0
+    at, quartiles, seen = [total / 4, 3 * total / 4], [], 0
+    for r in steps:
+        seen += r["count"]
+        while len(quartiles) < 2 and seen >= at[len(quartiles)]:
+            quartiles.append(r.step / 1000)
+    return quartiles[0] - DISTANCES * max(LEAST_DISTANCE, quartiles[1] - quartiles[0])
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", least: float = LEAST_RATIO) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio and kept.
 
     Null or blank text: no words, ratio 0, base_failed. base_failed: fewer than 50 words, or more than half of them
-    in three-word windows that occur twice or more in the text. Without trusted rows the ratio comes from the
-    smoothed uniform target. Repeated rows get equal results; an empty table stays empty. Columns of docs with
-    the names of the result are replaced.
+    in three-word windows that occur twice or more in the text. least: the threshold, else threshold() of this run; a
+    ratio equal to it is kept. Without trusted rows the ratio comes from the smoothed uniform target. Repeated rows get
+    equal results; an empty table stays empty. Texts of any length are read whole, by one task each. Columns of docs
+    with the names of the result are replaced.
     """
-    ratios = mean_ratios(docs, trusted, text_col).withColumnRenamed("ratio", "_ratio")
+    ratios = materialize(mean_ratios(with_trust(docs, trusted, text_col), bucket_count(docs, text_col), text_col))
+    least = threshold(ratios) if least is None else least
+    ratios = ratios.select("_key", F.col("ratio").alias("_ratio"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     t = f"coalesce(`{text_col}`, '')"
     d = words_of(docs.drop(*[n for n in names if n != text_col]), text_col).withColumn("_key", F.xxhash64(text_col))
