@@ -12,26 +12,36 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few numbers may be broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Rows of a batch that goes to Python while a table is written.
-ARROW_ROWS = "1000"
+#: Bounds of a batch that goes to Python: rows can hold whole texts and sets.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ARROW_BOUNDS; they are never raised or set back, so that jobs of one
+    session don't disturb each other."""
+    for key, most in ARROW_BOUNDS.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder all executors see: spark.checkpoint.dir, or the warehouse where that is unset. A folder of one machine is
+    refused unless the driver runs the tasks itself."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/_quillmark"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
-    path, rows = f"{shared_dir(spark)}/{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, ARROW_ROWS)  # rows can hold whole texts and sets
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(rows, before)
+    bound_batches(spark)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmark_path = path
     return out
@@ -62,7 +72,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers and strings as a local relation: no job, no Python worker."""
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = [c.strip().split(" ") for c in schema.split(",")]
+    listed = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in names)} FROM VALUES {listed} AS v({', '.join(n for n, _ in names)})")
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import discard, materialize, small
+from quillmark.llm._common import discard, materialize, small, values
 
 WEIGHTS = (5, 2, 1)  # repeating over the sources in order
 MOST_REPEATS = 3
@@ -36,7 +36,7 @@ def ranked_sources(stats: DataFrame) -> DataFrame:
         before += n
     if not offsets:
         return ordered.select("source", "source_size", F.lit(0).cast("long").alias("k"))
-    table = F.broadcast(spark.createDataFrame(offsets, "part int, before long"))
+    table = F.broadcast(values(spark, offsets, "part int, before long"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     return ordered.join(table, "part").select("source", "source_size", (place - 1 + F.col("before")).cast("long").alias("k"))
 
@@ -68,18 +68,8 @@ def invert_demand(u: Column, ramp: Column) -> Column:
     return F.least(F.lit(1.0), 2 * u / (b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * ramp * u))))
 
 
-def mix_documents(docs: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", seed: int = SEED, payload: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs with size, source_size, target, taken, passes (its whole repeats), part (words of a
-    last, partial repeat) and positions (one for each repeat, ascending; empty if the mix takes nothing).
-
-    Within a source documents go in a seeded hash order. Each takes part in floor(target / source_size) whole
-    repeats; the first ones in the order also fill the rest of the target, the last of them in part. Rows are
-    range-sorted by their first position (those not taken last).
-
-    Null sources are a source of their own (last). Null sizes count 0. Documents of size 0 are never taken.
-    Repeated rows and ties are told apart by a count in their order and each has its own place; an empty table
-    gives no rows. Columns of docs named like the result's are replaced; payload columns are carried.
-    """
+def planned(docs: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", seed: int = SEED, payload: tuple[str, ...] = ()) -> DataFrame:
+    """mix_documents() before its rows are sorted."""
     names = {"_size": size, "_source": F.col(source_col), "_id": F.col(id_col)}
     keep = [c for c in payload]
     t = docs.select(*[v.alias(k) for k, v in names.items()], *[F.col(c).alias(f"_p_{c}") for c in keep])
@@ -103,7 +93,7 @@ def mix_documents(docs: DataFrame, size: Column, source_col: str = "source", id_
     starts = starts.join(plan.select(F.col("source").alias("s"), "source_size", "target", "ramp"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     starts = materialize(starts.withColumnRenamed("_bucket", "b"))
 
-    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id", *[f"_p_{c}" for c in keep if dict(docs.dtypes)[c] != "map"])
+    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id", *[f"_p_{c}" for c in keep if "map<" not in dict(docs.dtypes)[c]])
     t = t.withColumn("_run", F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     t = t.join(small(starts, starts.count()), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_bucket") == F.col("b")))
     t = t.withColumn("_at", F.col("before") + F.col("_run"))
@@ -115,17 +105,40 @@ def mix_documents(docs: DataFrame, size: Column, source_col: str = "source", id_
     every = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), lambda r: invert_demand(F.least(F.lit(1.0), middle(r)), F.col("ramp")))
     t = t.withColumn("positions", F.slice(every, F.lit(1), repeats)).withColumn("position", F.get("positions", F.lit(0)))
     t = t.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken", "passes", "part", "positions", "position", *[F.col(f"_p_{c}").alias(c) for c in keep])
+    return t
+
+
+def mix_documents(docs: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", seed: int = SEED, payload: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of docs with size, source_size, target, taken, passes (its whole repeats), part (words of a
+    last, partial repeat) and positions (one for each repeat, ascending; empty if the mix takes nothing).
+
+    Within a source documents go in a seeded hash order. Each takes part in floor(target / source_size) whole
+    repeats; the first ones in the order also fill the rest of the target, the last of them in part. Rows are
+    range-sorted by their first position (those not taken last).
+
+    Null sources are a source of their own (last). Null sizes count 0. Documents of size 0 are never taken.
+    Repeated rows and ties are told apart by a count in their order and each has its own place; an empty table
+    gives no rows. Columns of docs named like the result's are replaced; payload columns are carried.
+    """
+    t = planned(docs, size, source_col, id_col, seed, payload)
     return t.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
 def curriculum(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix as a table with the columns of docs, in training order: one row per repeat, a partial repeat cut
-    after its words; documents that the mix does not take are absent."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    m = mix_documents(docs, word_count(F.col(text_col)), payload=tuple(others))
-    rows = m.select("*", F.posexplode("positions").alias("_pass", "_position"))
-    whole = F.col("_pass") < F.col("passes")
-    word_ends = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # one word in each piece
+    after its words; documents that the mix does not take are absent.
+
+    Null and blank texts have size 0 and so are absent; a null doc_id is an id like others; of repeated rows each has
+    its own place; rows with equal positions go by doc_id; an empty table gives no rows. docs may have columns of any
+    names, also those of mix_documents(). A long text is one value, held by one task; a text moves twice.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "source", text_col)]
+    # the other columns travel in one struct, so that no name of theirs can clash
+    packed = docs.select("doc_id", "source", F.struct(F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("row"))
+    m = planned(packed, word_count(F.col("row.text")), payload=("row",))
+    rows = m.select("doc_id", "source", "row", "passes", "part", F.posexplode("positions").alias("_pass", "_position"))
+    rows = rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id")
+    word_ends = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # one word in each piece
     cut = F.array_join(F.slice(word_ends, F.lit(1), F.col("part").cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
-    return rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    made = {text_col: F.when(F.col("_pass") < F.col("passes"), F.col("row.text")).otherwise(cut), "doc_id": F.col("doc_id"), "source": F.col("source")} | {c: F.col(f"row.c{k}") for k, c in enumerate(others)}
+    return rows.select(*[made[c].alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import BROADCAST_ROWS, arrow_map, materialize
+from quillmark.llm._common import BROADCAST_ROWS, arrow_map, bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -182,6 +182,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     listed, terms last. Null text: no spans, and redacted is null. Every row of docs is returned once, with all
     its columns (one named pii is replaced); repeated rows get equal results; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     terms = materialize(sensitive_terms(docs, text_col).select("term"))
     n = terms.count()
     result = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, redacted string"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, embed_dedup, mixing, ngram_join, packing, pii, quality, substring, toxicity, url_filter
+from quillmark.llm._common import values
 from quillmark.llm.sql import oracles
 
 #: Folder of the public tokenizers; the same on every machine.
@@ -39,7 +40,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    more = values(spark, [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     done = chat.format_conversations(given.unionByName(more), tokenizer("byte_bpe_50k.json"))
     return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
@@ -88,5 +89,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return oracles(RULES)
-
-

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import arrow_map, materialize
+from quillmark.llm._common import arrow_map, bound_batches, materialize
 
 RUN, MIN_WORDS = 2, 10
 LENGTHS = 16  # a run's place is LENGTHS * (its first sentence) + its number of sentences; each sentence has a word, so MIN_WORDS bounds that number
@@ -121,6 +121,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     result. A null id comes first in the order. Runs that repeat inside one text count too. Every row is returned
     once with all its columns (one named cut is replaced); an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     t = docs.withColumn("_tie", F.xxhash64(text_col))
     runs = materialize(arrow_map(t.select(F.col(id_col).cast("long").alias("id"), "_tie", F.col(text_col).alias("text")).where(F.length("text") > 0), _runs, "h long, id long, tie long, place int"))
     repeated = materialize(runs.groupBy("h").agg(F.min(F.struct("id", "tie", "place")).alias("first"), F.max(F.struct("id", "tie", "place")).alias("last")).where("first < last").select("h", "first"))
