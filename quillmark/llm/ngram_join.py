@@ -14,10 +14,14 @@ Both sides walk the segments in the same order and stop when their budget is spe
 has about a quarter as many signatures as shingles. A band in which some set cannot fill its budget is
 indexed with one segment a shingle, where it always can.
 
-Candidates: each document is first verified against the smallest document of the group that shares
-most signatures with it; only pairs that are still in different components then remain, and of these
-a parity sketch (whose distance never exceeds the symmetric difference) passes on the few to verify.
-Pairs inside a component are never listed, so a large group of copies costs its size, not its square.
+Candidates: each document is first verified against the smallest document of the group that shares most
+signatures with it. Then only groups whose members are still in different components are looked at: blocks of
+their members, in the order of set size, are compared by a parity sketch (whose distance never exceeds the
+symmetric difference), and each block passes on no more pairs than would join its components (a spanning forest
+of the pairs that the sketches allow, nearest first). If all of these prove to be links, no other pair of the
+block can change a component. Where one proves not to be, the documents that sketches connect to it are
+compared by their whole sets, each against the documents outside the largest component. So no step lists the
+pairs of a group, and a large group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ COUNTERS = 1 << 20  # hashed counters of shingles
 HOT_SHARE = 0.001  # a shingle in more documents than this share is frequent
 FINE_BELOW = 64  # sets below this size are indexed with one segment a shingle
 BLOCK = 512  # rows of a block when the members of a mixed group are compared
+SPREAD = 4096  # documents that one task compares with a block by whole sets
+LN_MOST = 223_150  # a little above 10^6 ln(5 / 4); 5 / 4 is the largest ratio of the sizes of linked sets
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
 
@@ -196,14 +202,17 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole sets. Sets are made for the documents of the pairs only; ids are
-    broadcast if their count allows, else joined by shuffle."""
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, bits): the whole shingle sets of the documents with these ids. Ids are broadcast if their count allows, else joined by shuffle."""
+    nodes = materialize(nodes.select("node").distinct())
     wanted = docs.join(small(nodes, nodes.count()), docs.doc_id == nodes.node).select("node", "text")
-    sets = materialize(arrow_map(wanted, _sets, "node long, bits binary"))
-    seconds = materialize(pairs.select("b").distinct())
-    second = sets.join(small(seconds, seconds.count()), sets.node == seconds.b, "left_semi").select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
+    return arrow_map(wanted, _sets, "node long, bits binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their whole sets. Sets are made for the documents of the pairs only."""
+    sets = materialize(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs))
+    second = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
     joined = pairs.join(sets.select(F.col("node").alias("a"), "bits"), "a").join(second, "b").select("a", "b", "bits", "bits_b")
     links = materialize(arrow_map(joined, _verify, "a long, b long").distinct())
     discard(sets)
@@ -221,52 +230,160 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) of a least spanning forest over the labels, by ascending order (Boruvka)."""
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    label, out, left = label.copy(), [], np.arange(len(a))
+    while True:
+        la, lb = label[a[left]], label[b[left]]
+        apart = la != lb
+        left, la, lb = left[apart], la[apart], lb[apart]
+        if not len(left):
+            return np.unique(np.array(out, np.int64))
+        best = np.full(int(label.max()) + 1, len(order), np.int64)
+        np.minimum.at(best, la, rank[left])
+        np.minimum.at(best, lb, rank[left])
+        for e in np.unique(best[best < len(order)]):
+            e = order[e]
+            x, y = label[a[e]], label[b[e]]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                out.append(int(e))
+
+
+def _allowed_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, share of the allowed distance in 1/2^20) of the rows of one (sig, p, q) whose components differ and whose sizes and sketches allow a link."""
+    same = rows[0][1] == rows[0][2]
+    left, comp, n, node = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6, 4))
+    words = np.array([len(r[7]) // 8 for r in rows])
+    found = []
+    for w in np.unique(words):
+        for v in (w, 2 * w):  # a set of up to 5/4 the size has a sketch of the same or twice the length
+            li, ri = np.flatnonzero(words == w), np.flatnonzero(words == v)
+            if not len(ri):
+                continue
+            lb = np.frombuffer(b"".join(rows[k][7] for k in li), np.uint64).reshape(len(li), -1)
+            rb = np.frombuffer(b"".join(rows[k][7] for k in ri), np.uint64).reshape(len(ri), -1)
+            if v > w:
+                rb = rb[:, :w] ^ rb[:, w:]
+            for k, i in enumerate(li):
+                ok = (comp[ri] != comp[i]) & (5 * np.minimum(n[ri], n[i]) >= 4 * np.maximum(n[ri], n[i]))
+                ok &= (ri > i) if v == w else True
+                if not same:
+                    ok &= left[ri] != left[i]
+                at = np.flatnonzero(ok)
+                if len(at):
+                    far = np.bitwise_count(rb[at] ^ lb[k]).sum(axis=1, dtype=np.int64)
+                    most = n[i] + n[ri[at]]
+                    near = 9 * far <= most
+                    found.append((np.full(near.sum(), i), ri[at][near], (far[near] << 20) // most[near]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, p, q): pairs of different components whose sketches allow a link."""
+    """Rows sorted by (sig, p, q): pairs that would join the components of the rows, as far as sketches allow."""
 
     def pairs(rows):
-        left = [r for r in rows if r[3]]
-        right = rows if rows[0][1] == rows[0][2] else [r for r in rows if not r[3]]
-        out = []
-        for n_words in {len(r[7]) // 8 for r in left}:
-            for m_words in {len(r[7]) // 8 for r in right}:
-                if max(n_words, m_words) > 2 * min(n_words, m_words):
-                    continue
-                ls = [r for r in left if len(r[7]) == n_words * 8]
-                rs = [r for r in right if len(r[7]) == m_words * 8]
-                w = min(n_words, m_words)
-                lb = np.array([fold(np.frombuffer(r[7], np.uint64), w) for r in ls])
-                rb = np.array([fold(np.frombuffer(r[7], np.uint64), w) for r in rs])
-                lc, rc, ln, rn, li, ri = (np.array([r[k] for r in v], np.int64) for k in (5, 6, 4) for v in (ls, rs))
-                for k in range(len(ls)):
-                    ok = (lc[k] != rc) & (li[k] < ri if rows[0][1] == rows[0][2] else li[k] != ri) & (5 * np.minimum(ln[k], rn) >= 4 * np.maximum(ln[k], rn))
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        far = np.bitwise_count(rb[at] ^ lb[k]).sum(axis=1, dtype=np.int64)
-                        at = at[9 * far <= ln[k] + rn[at]]
-                        out += [(min(li[k], j), max(li[k], j)) for j in ri[at]]
-        return out
+        if len({r[5] for r in rows}) < 2:
+            return
+        i, j, far = _allowed_pairs(rows)
+        if len(i):
+            node = np.array([r[4] for r in rows], np.int64)
+            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            label = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)[1]
+            for e in spanning(i, j, np.lexsort((high, low, far)), label):
+                yield int(low[e]), int(high[e])
+
+    def batch(found):
+        return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     group, key = [], None
     for b in batches:
         found = set()
         for r in zip(*(b.column(k).to_pylist() for k in ("sig", "p", "q", "is_left", "node", "component", "n", "sketch"))):
             if (r[0], r[1], r[2]) != key:
-                if len(group) > 1:
-                    found.update(pairs(group))
+                found.update(pairs(group))
                 group, key = [], (r[0], r[1], r[2])
             group.append(r)
-        yield pa.record_batch([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], ["a", "b"])
-    if len(group) > 1:
-        found = set(pairs(group))
-        yield pa.record_batch([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], ["a", "b"])
+        yield batch(found)
+    yield batch(set(pairs(group)))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (s, block, salt, small first): links of each row with the small rows of its block, by whole sets;
+    none between components that others of them join already."""
+    key, small = None, []
+    values = owner = sizes = None
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for b in batches:
+        out = []
+        for s, block, salt, is_small, node, comp, bits in zip(*(b.column(k).to_pylist() for k in ("s", "block", "salt", "small", "node", "component", "bits"))):
+            if (s, block, salt) != key:
+                key, small, values, root = (s, block, salt), [], None, {}
+            mine = np.frombuffer(bits, np.uint64)
+            if is_small:
+                small.append((node, comp, mine))
+                continue
+            if values is None:
+                sizes = np.array([len(x[2]) for x in small], np.int64)
+                values, owner = np.concatenate([x[2] for x in small]), np.repeat(np.arange(len(small)), sizes)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+            lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            common = np.bincount(owner[at], minlength=len(small))
+            for k in np.flatnonzero(100 * common >= 80 * (sizes + len(mine) - common)):
+                x, y = find(comp), find(small[k][1])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((max(node, small[k][0]), min(node, small[k][0])))
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def settled(tried: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Further links among documents that the tried pairs connect, where some of these pairs are none.
+
+    tried: the pairs passed on; links: those that are links; comps: (node, component) of all links so far, with
+    every end of a tried pair. A document outside the largest component of what it is connected to meets all the
+    others, in blocks of BLOCK; the others are spread over salts."""
+    of = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    failed = materialize(tried.join(links, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("c_a != c_b").select("a", "b", "c_a", "c_b"))
+    # connected: components joined by tried pairs; a tried pair inside a component adds nothing
+    spans = materialize(connected_components(failed.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))))
+    members = materialize(comps.join(spans.select(F.col("node").alias("component"), F.col("component").alias("s")), "component").select("s", "component", "node"))
+    counted = members.groupBy("s", "component").count()
+    largest = materialize(counted.groupBy("s").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"), F.sum("count").alias("k")))
+    m = members.join(largest, "s")
+    small = m.where("component != largest").withColumn("block", ((F.row_number().over(Window.partitionBy("s").orderBy("node")) - 1) / BLOCK).cast("int"))
+    small = materialize(small.select("s", "component", "node", "block", "k"))
+    blocks = small.groupBy("s").agg((F.max("block") + 1).alias("blocks"))
+    salts = F.floor((F.col("k") - 1) / SPREAD).cast("int") + 1
+    others = m.join(blocks, "s").select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("small"), "node", "component")
+    copies = small.select("s", "block", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("small"), "node", "component")
+    sets = materialize(sets_of(members.select("node"), docs))
+    rows = others.unionByName(copies).join(sets, "node").repartition("s", "block", "salt").sortWithinPartitions("s", "block", "salt", F.col("small").desc(), "node")
+    found = materialize(arrow_map(rows.select("s", "block", "salt", "small", "node", "component", "bits"), _settle, "a long, b long").distinct())
+    for t in (failed, spans, members, largest, small, sets):
+        discard(t)
+    return found
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Null or blank text: n_shingles 0, linked with nothing. Rows that share an id are one node. A null id
-    links with nothing and has a null component. Repeated texts link. Other columns are not returned.
+    links with nothing and has a null component. Repeated texts link; a pair at exactly 0.8 links. A text of any
+    length is one set, made by one task. An empty table gives no rows. Other columns are not returned.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = materialize(arrow_map(docs, _scan(COUNTERS), "doc_id long, n long, h1 long, h2 long, sketch binary"))
@@ -286,6 +403,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     shared = materialize(shared_of(index(frozenset())))
     unfilled = [-1 - r.node for r in shared.where("sig = 0 and node >= -64").select("node").distinct().collect()]  # at most 64 bands
     if unfilled:
+        discard(shared)
         shared = materialize(shared_of(index(frozenset(unfilled)).where("sig != 0")))
 
     # first round: each document against the leader with which it shares most signatures
@@ -296,41 +414,69 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links = verified(materialize(arrow_map(near, _possible, "a long, b long").distinct()), docs)
 
     # exact copies: everyone links with the smallest id of the same set
-    copies = meta.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    same = meta.where("n > 0").join(copies, ["h1", "h2", "n"]).where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = materialize(meta.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    same = materialize(meta.where("n > 0").join(copies, ["h1", "h2", "n"]).where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     edges = materialize(links.union(same).distinct())
     comps = materialize(connected_components(edges))
 
-    # second round: pairs that share a signature but no component yet
-    labelled = shared.select("sig", "node").join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    # second round: groups of a signature that hold several components; of exact copies the smallest is enough
+    nodes = materialize(about.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").join(comps, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component"), "n"))
     # groups with the same members give the same pairs: of those with equal sums of two hashes of the members one stays
-    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(20,0)"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), total(1).alias("t1"), total(2).alias("t2")).where("lo < hi")
-    mixed = mixed.groupBy("k", "t1", "t2").agg(F.min("sig").alias("sig")).select("sig")
-    rows = labelled.join(mixed, "sig").distinct().join(about.withColumnRenamed("doc_id", "node"), "node")
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).withColumn("blocks", ((F.max("k").over(by_sig) - 1) / BLOCK).cast("int") + 1).withColumn("own", ((F.col("k") - 1) / BLOCK).cast("int"))
-    dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("is_left"), "node", "component", "n", "sketch")
-    dealt = dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-    pairs = materialize(arrow_map(dealt, _cross, "a long, b long").distinct())
-    if pairs.limit(1).count():
-        comps = connected_components(edges.union(verified(pairs, docs)))
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(20,0)")).over(by_sig)
+    groups = shared.select("sig", "node").join(nodes, "node").withColumn("lo", F.min("component").over(by_sig)).withColumn("hi", F.max("component").over(by_sig)).where("lo < hi")
+    groups = materialize(groups.select("sig", "node", "component", "n", F.count("*").over(by_sig).alias("k"), F.xxhash64(total(1)).alias("t1"), F.xxhash64(total(2)).alias("t2")))
+    chosen = groups.groupBy("k", "t1", "t2").agg(F.min("sig").alias("sig")).select("sig")
+    reach = Window.partitionBy("sig").orderBy("size")
+    block = lambda c: ((c - 1) / BLOCK).cast("int")
+    rows = groups.join(chosen, "sig", "left_semi").select("sig", "node", "component", "n", (F.ln("n") * 1_000_000).cast("long").alias("size")).distinct()
+    rows = rows.withColumn("own", block(F.row_number().over(by_sig.orderBy("size", "node")))).withColumn("to", block(F.count("*").over(reach.rangeBetween(Window.unboundedPreceding, LN_MOST)))).withColumn("from", block(F.count("*").over(reach.rangeBetween(Window.unboundedPreceding, -LN_MOST)) + 1))
+    dealt = rows.withColumn("other", F.explode(F.sequence("from", "to"))).select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("is_left"), "node", "component", "n")
+    dealt = dealt.join(about.select(F.col("doc_id").alias("node"), "n", "sketch"), ["node", "n"]).repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    tried = materialize(arrow_map(dealt.select("sig", "p", "q", "is_left", "node", "component", "n", "sketch"), _cross, "a long, b long").distinct())
+    for t in (shared, groups, nodes):
+        discard(t)
+    if tried.limit(1).count():
+        more = verified(tried, docs)
+        edges = materialize(edges.union(more))
+        comps = materialize(connected_components(edges))
+        ends = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+        alone = ends.join(comps, "node", "left_anti").select("node", F.col("node").alias("component"))
+        last = settled(tried, more, materialize(comps.select("node", "component").union(alone)), docs)
+        if last.limit(1).count():
+            comps = materialize(connected_components(edges.union(last)))
     return meta.join(comps, meta.doc_id == comps.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose component they name: one document of each group of near-duplicates stays.
+    """One row of each group of near-duplicate rows of docs stays: the one with the smallest doc_id.
 
-    Documents without words belong to no group and stay; of repeated rows with one id the least text stays
-    (nulls first), unless the text has no words. A null id stays.
+    Only a row whose own text links goes: rows that share an id but not their texts are told apart, and rows without
+    words (null and blank texts) stay, all of them, as does a null id. Of rows with equal ids and texts one stays, the
+    one whose other columns are least. Columns of docs may have any names. An empty table stays empty.
     """
-    comps = ngram_jaccard_components(docs).where("doc_id is not null and n_shingles > 0 and component_id != doc_id").select("doc_id").distinct()
-    comps = materialize(comps)
-    kept = docs.join(small(comps, comps.count()), "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    k = twice.count()
-    if not k:
-        return kept
-    again = kept.join(small(twice, k), "doc_id", "left_semi").select(*docs.columns)
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")])
-    again = again.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
-    return kept.join(small(twice, k), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    key = F.xxhash64("doc_id", "text")
+    often = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select(F.col("doc_id").alias("_often")))
+    n = often.count()
+    d = docs.select("doc_id", "text")
+    # rows of a repeated id are nodes of their own, named by a negative hash of id and text
+    apart = F.lit(-(1 << 62)) - F.shiftrightunsigned(key, 2)
+    if n:
+        d = d.join(small(often.withColumn("_is", F.lit(True)), n), F.col("doc_id") == F.col("_often"), "left")
+        d = d.select(F.when(F.col("_is"), apart).otherwise(F.col("doc_id")).alias("node"), "doc_id", "text")
+    else:
+        d = d.withColumn("node", F.col("doc_id"))
+    comps = ngram_jaccard_components(d, "node").where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+    if not n:
+        gone = materialize(comps.where("component_id != node").select("node").distinct())
+        return docs.join(small(gone, gone.count()), docs.doc_id == gone.node, "left_anti").select(*docs.columns)
+    ids = d.where("node < 0").select("node", "doc_id").distinct()
+    named = comps.distinct().join(ids.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "component_id", F.when(F.col("_n").isNull(), F.col("node")).otherwise(F.col("doc_id")).alias("doc_id"))
+    best = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("node"))
+    gone = materialize(named.select("node").join(best, "node", "left_anti"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", words.alias("_words"), apart.alias("_key"))
+    whole = whole.join(small(often.withColumn("_is", F.lit(True)), n), F.col("doc_id") == F.col("_often"), "left")
+    whole = whole.withColumn("_node", F.when(F.col("_is"), F.col("_key")).otherwise(F.col("doc_id")))
+    kept = whole.join(small(gone, gone.count()), F.col("_node") == F.col("node"), "left_anti")
+    once = kept.where("_is and _words").groupBy("_node").agg(F.min("_row").alias("_row")).select("_row")
+    return kept.where("_is is null or not _words").select("_row").unionByName(once).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -120,6 +120,47 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    t, u, long = "a b c d e f g", "quite other words in this text here", " ".join(f"l{k}" for k in range(30_000))
+    rows = [(7, None, "x", 1), (7, u, "x", 1), (7, u, "a", 2), (8, u + " ", "x", 1), (1, t, None, 1), (9, t, "x", 1), (9, "nobody else says any of this", "x", 1), (5, "", "x", 1), (5, "", "x", 1), (10, long, "x", 1), (11, long + " end", "x", 1)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, node string, component_id int, k string")
+    kept = ngram_join.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:8], r.node) for r in kept.collect()), key=repr)
+    assert got == sorted([(7, "", "x"), (7, "quite ot", "a"), (1, "a b c d ", None), (9, "nobody e", "x"), (5, "", "x"), (5, "", "x"), (10, "l0 l1 l2", "x")], key=repr)
+    assert ngram_join.keep_one_per_group(docs.limit(0)).collect() == []
+
+
+def test_pairs_at_the_bound_of_sketches(spark, monkeypatch):
+    """Many pairs just below and just above 0.8, in blocks and salts of a few rows: sketches allow pairs that are no links."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "SPREAD", 5)
+    r, rows = random.Random(17), []
+    base = [f"b{k}" for k in range(120)]
+    for k in range(160):
+        d = list(base)
+        for at in r.sample(range(0, 120, 6), r.choice([1, 2, 2, 3])):
+            d[at] = f"n{r.randrange(40)}"
+        rows.append((k * 3 + 1, " ".join(d)))
+    want = brute_components(rows)
+    assert 20 < len({c for _, c in want.values()}) < 150
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_jaccard_components(df).collect()} == want
+
+
+def test_spanning_forest():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = int(r.integers(2, 30)), int(r.integers(1, 80))
+        a, b, label = r.integers(0, n, m), r.integers(0, n, m), r.integers(0, n, n)
+        label = np.unique(label, return_inverse=True)[1]
+        got = ngram_join.spanning(a, b, r.permutation(m), label)
+        start = [(-1 - int(label[k]), k) for k in range(n)]
+        every = roots({x for p in start for x in p}, start + list(zip(a.tolist(), b.tolist())))
+        few = roots({x for p in start for x in p}, start + [(int(a[e]), int(b[e])) for e in got])
+        assert every == few and len(got) == len(set(label.tolist())) - len(set(every.values()))
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)]
