@@ -108,17 +108,25 @@ def mask_tokens(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray
 
 
 def masked_text(rendered: str, offsets: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
-    """What the masked tokens cover of each span, in order: read from offsets, clipped to the span."""
-    out = []
-    for a, b in spans:
-        lo, hi = np.searchsorted(offsets[:, 1], a, side="right"), np.searchsorted(offsets[:, 0], b, side="left")
-        chosen = offsets[lo:hi][mask[lo:hi]]
-        if not len(chosen):
-            out.append("")
-            continue
-        cuts = np.clip(chosen, a, b)
-        out.append(rendered[int(cuts[:, 0].min()) : int(cuts[:, 1].max())])
-    return out
+    """The stretches of text that the masked tokens cover, in order; tokens next to each other make one stretch. A token
+    that crosses the border of a span counts up to the border; one that touches no span counts whole."""
+    chosen = offsets[mask]
+    chosen = chosen[chosen[:, 1] > chosen[:, 0]]
+    if not len(chosen):
+        return []
+    start, end = chosen[:, 0].copy(), chosen[:, 1].copy()
+    if spans:
+        s = np.array(spans, np.int64)
+        k = np.minimum(np.searchsorted(s[:, 1], start, side="right"), len(s) - 1)
+        inside = (end > s[k, 0]) & (start < s[k, 1])
+        start, end = np.where(inside, np.maximum(start, s[k, 0]), start), np.where(inside, np.minimum(end, s[k, 1]), end)
+    # several tokens can share one character
+    before = np.r_[0, np.maximum.accumulate(end)[:-1]]
+    fresh = end > before
+    start, end, before = np.maximum(start, before)[fresh], end[fresh], before[fresh]
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    last = np.r_[first[1:] - 1, len(start) - 1]
+    return [rendered[a:b] for a, b in zip(start[first], end[last])]
 
 
 def _format(tokenizer_path: str):
@@ -150,7 +158,8 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Turns go in the order of turn (nulls first), then role and text. Null roles and texts are empty; repeated rows
     are repeated turns; a null conv_id is a conversation of its own. An empty table gives no rows; other columns are not
-    used. A conversation is one value and so is held by one task; conversations are spread by a hash of their id.
+    used. A conversation is one value and so is held by one task; conversations are spread by a hash of their id. Texts of
+    any length are encoded whole. A turn's equal numbers are ties, which role and text break.
     """
     t = turns.select("conv_id", F.struct(F.col("turn").alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
     t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("conv_id", F.col("x.role").alias("roles"), F.col("x.text").alias("texts"))

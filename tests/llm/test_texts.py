@@ -102,6 +102,36 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), tokenizer("byte_bpe_50k.json")).collect() == []
 
 
+def test_the_digest_follows_the_mask():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    turns = [("user", "what ⟪ is it?"), ("assistant", "\n é🙂 it is </s> this ⟭ answer, all of it"), ("user", "ok"), ("assistant", ""), ("assistant", "…and more")]
+    rendered, spans = chat.render(turns)
+    offsets = np.array(tok.encode(rendered, add_special_tokens=False).offsets, np.int64)
+    mask = chat.mask_tokens(offsets, spans)
+    read = lambda m: [chat.unescape(x) for x in chat.masked_text(rendered, offsets, m, spans)]
+    assert read(mask) == [t for r, t in turns if r == "assistant" and t]
+    whole = "".join(read(mask))
+    at = np.flatnonzero(mask)
+    for k in (at[0], at[len(at) // 2], at[-1]):  # a hole
+        less = mask.copy()
+        less[[j for j in at if offsets[j][0] < offsets[k][1] and offsets[j][1] > offsets[k][0]]] = False
+        assert len("".join(read(less))) < len(whole)
+    for k in (0, int(np.flatnonzero(~mask)[3]), len(mask) - 1):  # a stray token
+        more = mask.copy()
+        more[k] = True
+        assert mask[k] or len("".join(read(more))) > len(whole)
+    assert read(np.zeros(len(mask), bool)) == [] and len(chat.masked_text(rendered, offsets, np.ones(len(mask), bool), [])) == 1
+
+
+def test_chat_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, 0, "user", "hi", "x", 5), (1, 1, "assistant", "word " * 60_000, "y", 6), (2, 0, "assistant", "same", "x", 1), (2, 0, "assistant", "same", "x", 1)]
+    got = {x.conv_id: x for x in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, x string, n_turns int"), tokenizer("byte_bpe_50k.json")).collect()}
+    assert got[1].loss_chars == 300_000 and got[2].n_turns == 2 and got[2].loss_chars == 8
+
+
 def brute_quality(t):
     w = WORD.findall(t or "")
     seen = {}
