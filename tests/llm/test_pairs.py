@@ -203,6 +203,34 @@ def test_large_group_of_near_vectors(spark):
     assert embed_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_numbers_of_tables_follow_the_vectors():
+    r = np.random.default_rng(1)
+    for largest in (1, 200, 5000, 10**6):
+        tables, values = embed_dedup.plan(largest)
+        assert 1 - (1 - embed_dedup.NEAR_SHARE**values) ** tables >= 0.98 and largest * embed_dedup.FAR_SHARE**values <= 0.2 or largest < 2
+    tables, values = embed_dedup.plan(5000)
+    u = r.standard_normal((2000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = r.standard_normal((2000, 64))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    label = np.zeros(2000, np.int64)
+    keys = [embed_dedup.table_keys(c * u + np.sqrt(1 - c * c) * w, label, tables, values) for c in (1.0, 0.98, 0.0)]
+    assert np.mean((keys[0] == keys[1]).any(axis=1)) > 0.97 and np.mean(keys[0] == keys[2]) < 2 * embed_dedup.FAR_SHARE**values
+
+
+def test_embeddings_at_the_bound_with_clashing_columns(spark):
+    v, w = [0.981, 0.19, 0.0], [1.0, 0.0, 0.0]  # cosine a little above 0.98
+    rows = [(1, v, 3, "x", 0), (2, w, 3, "x", 0), (2, w, 3, "x", 0), (None, w, 3, "x", 0), (4, [1.0, 0.0], 3, "x", 0), (5, [0.9799, 0.2, 0.0], 3, "x", 0), (6, [-x for x in w], 3, "x", 0)]
+    got = embed_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string, rep int"))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    near = lambda x, y: unit(x) @ unit(y) >= 0.98
+    assert near(v, w) and not near(rows[5][1], w)
+    by = {(x.vec_id, x.n_links, x.component_id) for x in got.collect()}
+    assert {b[0]: b[2] for b in by}[4] == 4 and {b[0]: b[2] for b in by}[6] == 6 and {b[0]: b[2] for b in by}[2] in (1, 2) and (None, 0, None) in by
+
+
 def brute_cut(rows):
     first, out = {}, {}
     runs = {(i, t): [(k, "\n".join(" ".join(t[a:b].lower().split()) for a, b in substring.sentences(t)[k : k + 2])) for k in range(len(substring.sentences(t)) - 1)] for i, t in rows}
