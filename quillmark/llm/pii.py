@@ -1,30 +1,36 @@
 """Personal data, and information-theoretic sanitisation of the terms that reveal it.
 
 Base spans (e-mail, IPv4, payment card, phone) are found by rule. The corpus then says which other words
-disclose a person: for each protected entity e (the value of a base span) and each term t near it,
-p(e | t) is the share of the distinct texts holding t in which t stands next to e. A term is sensitive if
-it has stood next to e in at least MIN_TEXTS distinct texts, p(e | t) is at least MIN_SHARE, and its
-pointwise mutual information log2(p(e | t) / p(e)) is at least MIN_BITS. Sensitive terms become spans of
-kind `term`; redaction generalises base spans to their kind and removes the terms.
+disclose a person: for each protected entity e (the value of a base span) and each term t of the texts that
+hold it, p(e | t) is the share of the distinct texts with t that hold e. A term is sensitive if the lower bound of
+p(e | t) at Z standard errors (Wilson) is at least MIN_SHARE, and its pointwise mutual information
+log2(p(e | t) / p(e)) is at least MIN_BITS. Such terms become spans of kind `term` wherever they stand. A run of
+characters that by itself carries SECRET_BITS of information, with letters and digits, names its holder as an
+entity does (keys, tokens): it becomes a span of kind `secret`. Redaction generalises base spans and secrets to
+their kind and removes the terms.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm._common import BROADCAST_ROWS, arrow_map, bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR = 6  # words on either side of an entity
-MIN_TEXTS, MIN_SHARE, MIN_BITS = 8, 0.5, 3.0
+SECRET = "secret"
+Z, MIN_SHARE, MIN_BITS = 1.96, 0.5, 3.0
+LEAST_TEXTS = 4  # the bound of p(e | t) is below MIN_SHARE with fewer texts, so rarer entities are not paired
+SECRET_CHARS, SECRET_BITS = 20, 64.0
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +39,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LETTERS = re.compile(r"[^\W\d_]{4,}")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 
 def luhn(digits: str) -> bool:
@@ -73,43 +80,59 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def terms_of(word: str) -> list[str]:
-    """The terms of a word: its lower-cased runs of four letters or more."""
-    return [t.lower() for t in _LETTERS.findall(word)]
-
-
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
-    """(entity, term) for the terms among NEAR words on either side of each span; words that touch a span are none."""
-    out = set()
-    for kind, a, b in spans:
-        before, after = [], []
-        left, right = text[max(0, a - 60 * NEAR) : a], text[b : b + 60 * NEAR]
-        for m in _WORD.finditer(left):
-            before.append(m)
-        for m in _WORD.finditer(right):
-            after.append(m)
-        for m in before[-NEAR - 1 :]:
-            if m.end() < len(left):
-                out.update((f"{kind}:{text[a:b]}", t) for t in terms_of(m[0]))
-        for m in after[: NEAR + 1]:
-            if m.start() > 0:
-                out.update((f"{kind}:{text[a:b]}", t) for t in terms_of(m[0]))
+def terms_of(text: str) -> set[str]:
+    """The terms of a text: its lower-cased runs of two letters or more."""
+    return {t.lower() for t in _LETTERS.findall(text)}
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Runs of SECRET_CHARS characters or more, with letters and digits, whose characters carry at least SECRET_BITS bits by
+    their own frequencies."""
+    out = []
+    for m in _RUN.finditer(text):
+        run = m[0]
+        digits = sum("0" <= c <= "9" for c in run)
+        if digits >= 4 and any(c.isalpha() for c in run):
+            n = len(run)
+            if sum(k * math.log2(n / k) for k in Counter(run).values()) >= SECRET_BITS:
+                out.append((SECRET, *m.span()))
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def entities_of(text: str) -> set[int]:
+    """Hashes of the protected entities of a text."""
+    return {text_hash(f"{kind}:{text[a:b]}") for kind, a, b in base_spans(text)}
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        terms, entities, texts = [], [], []
-        for v in b.column(0):
-            t = v.as_py()
-            spans = base_spans(t)
-            if spans:
-                h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
-                for e, w in near_terms(t, spans):
-                    terms.append(w)
-                    entities.append(xxhash.xxh3_64_intdigest(e.encode()) - (1 << 63))
-                    texts.append(h)
-        yield pa.record_batch([pa.array(terms, pa.string()), pa.array(entities, pa.int64()), pa.array(texts, pa.int64())], ["term", "entity", "text_hash"])
+        rows = [(e, h) for t in b.column(0).to_pylist() if t for found in (entities_of(t),) if found for h in (text_hash(t),) for e in found]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["entity", "text_hash"])
+
+
+def _pairs(wanted: frozenset[int] | None):
+    """(term, entity, text_hash) of the texts that hold entities, of the wanted ones only if these are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, entities, texts = [], [], []
+            for v in b.column(0):
+                t = v.as_py()
+                found = entities_of(t) if t else set()
+                found = found & wanted if wanted is not None else found
+                if found:
+                    own, h = terms_of(t), text_hash(t)
+                    for e in found:
+                        terms += own
+                        entities += [e] * len(own)
+                        texts += [h] * len(own)
+            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(entities, pa.int64()), pa.array(texts, pa.int64())], ["term", "entity", "text_hash"])
+
+    return run
 
 
 def _holding(wanted: frozenset[str] | None):
@@ -122,11 +145,11 @@ def _holding(wanted: frozenset[str] | None):
                 t = v.as_py()
                 if not t:
                     continue
-                found = set(_LETTERS.findall(t.lower()))
+                found = terms_of(t)
                 found = found & wanted if wanted is not None else found
                 if found:
                     terms += found
-                    texts += [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(found)
+                    texts += [text_hash(t)] * len(found)
                 if len(terms) > 200_000:
                     yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
                     terms, texts = [], []
@@ -135,32 +158,43 @@ def _holding(wanted: frozenset[str] | None):
     return run
 
 
+def lower_bound(hits: Column, n: Column) -> Column:
+    """Wilson's lower bound of the share hits / n at Z standard errors."""
+    p = hits / n
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
 def sensitive_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, bits): the terms of the corpus that disclose a protected entity, with their largest mutual information."""
+    """(term, bits): the terms of the corpus that disclose a protected entity, with their largest mutual information.
+    Equal texts count once; every count is exact."""
     texts = docs.select(F.col(text_col).alias("text"))
-    together = materialize(arrow_map(texts, _pairs, "term string, entity long, text_hash long").distinct())
-    n_texts = texts.agg(F.count("text")).first()[0]
-    entities = together.groupBy("entity").agg(F.approx_count_distinct("text_hash", 0.02).alias("n_e"))
-    counts = materialize(together.groupBy("term", "entity").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS).join(entities, "entity"))
-    candidates = counts.select("term").distinct()
+    held = arrow_map(texts, _entities, "entity long, text_hash long").distinct()
+    entities = materialize(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_TEXTS))
+    n_texts = texts.where("text != ''").select(F.xxhash64("text").alias("h")).distinct().count()
+    n = entities.count()
+    # both passes go over the corpus even without a candidate, so that the work is alike at every size; a checked number is sent as a set
+    wanted = frozenset(r.entity for r in entities.select("entity").collect()) if n <= BROADCAST_ROWS // 10 else None
+    together = arrow_map(texts, _pairs(wanted), "term string, entity long, text_hash long").distinct()
+    counts = materialize(together.groupBy("term", "entity").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= LEAST_TEXTS).join(entities, "entity"))
+    candidates = materialize(counts.select("term").distinct())
     n = candidates.count()
-    # the corpus is counted even if there is no candidate, so that the work is alike at every size
-    if n <= BROADCAST_ROWS // 10:  # a checked size; beyond it all terms go through a join
+    if n <= BROADCAST_ROWS // 10:
         held = arrow_map(texts, _holding(frozenset(r.term for r in candidates.collect())), "term string, text_hash long")
     else:
         held = arrow_map(texts, _holding(None), "term string, text_hash long").join(candidates, "term")
-    n_t = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.col("n_et") / F.col("n_t")
-    bits = F.log2(share / (F.col("n_e") / F.lit(float(max(n_texts, 1)))))
-    return counts.join(n_t, "term").where((share >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(bits).alias("bits"))
+    n_t = materialize(held.distinct().groupBy("term").agg(F.count("*").alias("n_t")))
+    bits = F.log2(F.col("n_et") / F.col("n_t") / (F.col("n_e") / F.lit(float(max(n_texts, 1)))))
+    return counts.join(n_t, "term").where((lower_bound(F.col("n_et"), F.col("n_t")) >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(bits).alias("bits"))
 
 
 def all_spans(text: str | None, terms: frozenset[str]) -> tuple[list, list]:
     base = base_spans(text)
-    extra = []
-    if text and not terms.isdisjoint(_LETTERS.findall(text.lower())):
+    extra = secret_spans(text) if text else []
+    extra = [x for x in extra if not any(a < x[2] and x[1] < b for _, a, b in base)]
+    if text and terms and not terms.isdisjoint(terms_of(text)):
+        taken = [*base, *extra]
         for m in _LETTERS.finditer(text):
-            if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in base):
+            if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in taken):
                 extra.append((TERM, *m.span()))
     return base, extra
 
@@ -179,8 +213,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a column `pii`: struct(n_email, n_ip, n_card, n_phone, base, spans, redacted).
 
     base and spans are `kind:start:end` in code points, end exclusive, comma-joined, by start, then kind as
-    listed, terms last. Null text: no spans, and redacted is null. Every row of docs is returned once, with all
-    its columns (one named pii is replaced); repeated rows get equal results; an empty table stays empty.
+    listed, then secrets and terms. Null text: no spans, and redacted is null. Every row of docs is returned once, with all
+    its columns (one named pii is replaced); repeated rows get equal results and count once in the corpus; an empty
+    table stays empty. Texts of any length are read whole. A share or bound equal to its threshold is reached.
     """
     bound_batches(docs.sparkSession)
     terms = materialize(sensitive_terms(docs, text_col).select("term"))
@@ -190,7 +225,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def describe(text, chosen):
         base, extra = all_spans(text, chosen)
         k = [s[0] for s in base]
-        order = (*KINDS, TERM)
+        order = (*KINDS, SECRET, TERM)
         write = lambda spans: ",".join(f"{x}:{a}:{b}" for x, a, b in spans)
         spans = sorted(base + extra, key=lambda s: (s[1], order.index(s[0])))
         return (k.count("email"), k.count("ip"), k.count("card"), k.count("phone"), write(base), write(spans), None if text is None else redact(text, spans))
@@ -209,11 +244,13 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def spans_with(text: pd.Series, own: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([describe(t, frozenset(o) if o is not None else frozenset()) for t, o in zip(text, own)], columns=names)
 
-    held = arrow_map(docs.select(F.col(text_col)), _holding(None), "term string, text_hash long").join(terms, "term").groupBy("text_hash").agg(F.collect_set("term").alias("_own"))
+    held = materialize(arrow_map(docs.select(F.col(text_col)), _holding(None), "term string, text_hash long").distinct().join(terms, "term").groupBy("text_hash").agg(F.collect_set("term").alias("_own")))
 
     @F.pandas_udf("long")
     def hash_of(text: pd.Series) -> pd.Series:
-        return pd.Series([None if not t else xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in text], dtype="Int64")
+        return pd.Series([None if not t else text_hash(t) for t in text], dtype="Int64")
 
-    keyed = docs.withColumn("_h", hash_of(F.col(text_col)))
-    return keyed.join(held, keyed["_h"] == held["text_hash"], "left").withColumn("pii", spans_with(F.col(text_col), F.col("_own"))).select(*docs.columns, "pii")
+    # texts without terms are spread by their row number, so that no task gets all of them
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(hash_of(F.col(text_col)), F.monotonically_increasing_id()).alias("_h"))
+    joined = keyed.join(held.hint("merge"), keyed["_h"] == held["text_hash"], "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "pii"], spans_with(F.col("_row")[text_col], F.col("_own")).alias("pii"))

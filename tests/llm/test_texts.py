@@ -258,6 +258,63 @@ def test_personal_data_and_disclosing_terms(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def brute_terms(texts):
+    """The disclosing terms by plain counts over distinct texts."""
+    texts = sorted({t for t in texts if t})
+    n = len(texts) + 0
+    words = {t: {w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)} for t in texts}
+    holds = {t: {(k, t[a:b]) for k, a, b in brute_spans(t)} for t in texts}
+    out = {}
+    for e in set().union(*holds.values()):
+        with_e = [t for t in texts if e in holds[t]]
+        for w in set().union(*(words[t] for t in with_e)):
+            both, n_t = sum(w in words[t] for t in with_e), sum(w in words[t] for t in texts)
+            p, z = both / n_t, 1.96
+            low = (p + z * z / (2 * n_t) - z * math.sqrt(p * (1 - p) / n_t + z * z / (4 * n_t * n_t))) / (1 + z * z / n_t)
+            bits = math.log2(p / (len(with_e) / n))
+            if low >= 0.5 and bits >= 3:
+                out[w] = max(bits, out.get(w, 0))
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark, monkeypatch):
+    r = random.Random(21)
+    people = [("kim", "kim@a.example"), ("li", "+1 555 010 99 00"), ("averyverylongfamilyname" * 20, "10.1.2.3"), ("bo", "bo@b.example")]
+    filler = [f"{a}{b}" for a in "abcdefgh" for b in ("lor", "mip", "tas")]
+    texts = []
+    for k in range(260):
+        w = [r.choice(filler) for _ in range(r.choice([4, 30]))]
+        if k % 6 == 0:
+            name, e = people[k // 6 % 4]
+            w.insert(0, e)
+            if r.random() < 0.9:
+                w.insert(r.randrange(len(w)), name.title())
+        elif k % 31 == 0:
+            w.append(r.choice(people)[0])
+        texts.append(" ".join(w))
+    texts += texts[:40]  # copies count once
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, term string, _h string").repartition(3)
+    want = brute_terms(texts)
+    assert {"kim", "li"} <= set(want)
+    for bound in (pii.BROADCAST_ROWS, 0):  # sets, and joins
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", bound)
+        got = {x.term: x.bits for x in pii.sensitive_terms(df).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[w], want[w]) for w in want)
+        rows = pii.find_personal_data(df)
+        assert rows.columns == [*df.columns, "pii"] and rows.count() == len(texts)
+        for x in rows.collect():
+            terms = {x.text[int(a) : int(b)].lower() for k, a, b in (y.split(":") for y in x.pii.spans.split(",") if y) if k == "term"}
+            assert terms == {w.lower() for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\S+@\S+", "", x.text))} & set(want)
+
+
+def test_secrets():
+    key = "908038b7daaf91e730d2f64001c52934d43d9336"
+    assert pii.all_spans(f'a token = "{key}" here', frozenset())[1] == [("secret", 11, 51)]
+    for t in ("a" * 60 + "1234", "averyveryverylongordinaryword", "2024-01-02-2024-01-02-2024", "x" * 19 + "1", "1" * 50):
+        assert pii.all_spans(t, frozenset())[1] == [], t
+    assert pii.redact(f"k={key}!", [("secret", 2, 42)]) == "k=<SECRET>!"
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
