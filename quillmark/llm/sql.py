@@ -9,6 +9,7 @@ from __future__ import annotations
 from quillmark.llm import chat, url_filter
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
+STEPS = 40  # of the propagation, written out; 0.85^41 of a score can still be under way, or 0.0013
 
 
 def q(s: str) -> str:
@@ -56,9 +57,9 @@ EMBEDDINGS = (
 
 
 def _ranks(name: str, seed: str, source: str, target: str) -> str:
-    """CTEs name0 to nameN: the steps of the propagation along edges."""
+    """CTEs name0 to nameSTEPS: the steps of the propagation along edges."""
     d, out = url_filter.DAMPING, [f"{name}0 AS (SELECT host, seed AS score FROM {seed})"]
-    for k in range(url_filter.STEPS):
+    for k in range(STEPS):
         flow = f"SELECT e.{target} AS host, sum(e.n / o.out * s.score) AS flow FROM links e JOIN (SELECT {source}, sum(n) AS out FROM links GROUP BY {source}) o ON o.{source} = e.{source} JOIN {name}{k} s ON s.host = e.{source} GROUP BY ALL"
         out.append(f"{name}{k + 1} AS (SELECT host, coalesce(seed, 0) * {1 - d} + coalesce(flow, 0) * {d} AS score FROM {seed} FULL JOIN ({flow}) USING (host))")
     return ", ".join(out)
@@ -80,7 +81,7 @@ def url_filters(rules: list[tuple[str, str]]) -> str:
         "good_seed AS (SELECT host, good / (SELECT n FROM total) AS seed FROM ruled WHERE good > 0), bad_seed AS (SELECT host, bad / (SELECT n FROM total) AS seed FROM ruled WHERE bad > 0), "
         f"{_ranks('g', 'good_seed', 'src', 'dst')}, {_ranks('b', 'bad_seed', 'dst', 'src')} "
         f"SELECT page_id, p.host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, 7) END AS rule, CASE WHEN fit IS NOT NULL THEN substr(fit, 1, 5) WHEN coalesce(bs.score, 0) > {url_filter.MOST_DISTRUST} * (coalesce(gs.score, 0) + coalesce(bs.score, 0)) THEN 'block' ELSE 'allow' END AS verdict "
-        f"FROM p LEFT JOIN g{url_filter.STEPS} gs ON gs.host = p.host LEFT JOIN b{url_filter.STEPS} bs ON bs.host = p.host"
+        f"FROM p LEFT JOIN g{STEPS} gs ON gs.host = p.host LEFT JOIN b{STEPS} bs ON bs.host = p.host"
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quillmark.llm._common import discard, materialize, small
 
-DAMPING, STEPS = 0.85, 10
+DAMPING = 0.85
+TOLERANCE, MOST_STEPS = 1e-6, 100  # steps go on while a score changes by more; 0.85^86 is less, so the bound is never what ends them
 MOST_DISTRUST = 0.6  # a host with a larger share of distrust is blocked
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -37,21 +38,31 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def _spread(score: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
-    """One step along links: each host passes its score on in proportion to its link counts."""
-    out = links.groupBy(source).agg(F.sum("n").alias("out"))
-    shares = links.join(out, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("n") / F.col("out")).alias("w"))
-    return shares.join(score, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("flow"))
+def shares(links: DataFrame, source: str, target: str) -> DataFrame:
+    """(host, to, w): what part of a host's score goes to each neighbour, in proportion to its link counts. Made once."""
+    out = materialize(links.groupBy(source).agg(F.sum("n").alias("out")))
+    w = materialize(links.join(out, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("n") / F.col("out")).alias("w")))
+    discard(out)
+    return w
 
 
 def propagate(seeds: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
-    """(host, score): PageRank restarted at seeds (host, seed), after STEPS steps."""
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(STEPS):
-        flow = _spread(score, links, source, target)
-        now = materialize(seeds.join(flow, "host", "full_outer").select("host", (F.coalesce("seed", F.lit(0.0)) * (1 - DAMPING) + F.coalesce("flow", F.lit(0.0)) * DAMPING).alias("score")))
+    """(host, score): PageRank restarted at seeds (host, seed), until no score changes by more than TOLERANCE.
+
+    A step is an equi-join of two tables, whose skewed keys (hubs) can be split, and a sum that is combined before its
+    shuffle."""
+    w, score = shares(links, source, target), materialize(seeds.select("host", F.col("seed").alias("score")))
+    for _ in range(MOST_STEPS):
+        flow = w.join(score, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("flow"))
+        now = seeds.join(flow, "host", "full_outer").select("host", (F.coalesce("seed", F.lit(0.0)) * (1 - DAMPING) + F.coalesce("flow", F.lit(0.0)) * DAMPING).alias("score"))
+        now = materialize(now.join(score.withColumnRenamed("score", "before"), "host", "left"))
+        change = now.agg(F.max(F.abs(F.col("score") - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0
         discard(score)
-        score = now
+        score = now.select("host", "score")
+        score._quillmark_path = now._quillmark_path
+        if change <= TOLERANCE:
+            break
+    discard(w)
     return score
 
 
@@ -60,8 +71,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
     A rule decides alone. Any other page has its host's verdict: block if distrust / (trust + distrust) exceeds
     MOST_DISTRUST, else allow; a host that neither reaches is allowed. Null urls and those without :// have an
-    empty host and path. Null html has no links; links of a host to itself don't count. Every row is returned once with
-    all its columns (those with the result's names are replaced); an empty table stays empty.
+    empty host and path. Null html has no links; links of a host to itself don't count. A share of distrust equal to
+    MOST_DISTRUST allows; of rules of equal length the last in order of text decides. Repeated rows count as often as they
+    occur. Texts of any length are read whole. Every row is returned once with all its columns (those with the
+    result's names are replaced); an empty table stays empty.
     """
     host, path = host_and_path(F.col("url"))
     p = pages.withColumn("host", host).withColumn("path", path)
