@@ -52,7 +52,9 @@ def legacy_tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Space-joined n-grams of an array of words."""
+    """Space-joined n-grams of an array of words. Pairs, the usual case, are made element by element."""
+    if n == 2:
+        return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 

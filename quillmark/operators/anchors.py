@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.operators.layout import text_lines
 from quillmark.operators.lexical import caps_skeletons
 from quillmark.settings import DEFAULTS, Settings
 
@@ -26,37 +27,48 @@ def zone_factor(zone: Column, settings: Settings = DEFAULTS) -> Column:
     return out
 
 
+def framed(text: Column) -> Column:
+    """Tokens as a space-framed string, so that a run of tokens is a substring."""
+    return F.concat(F.lit(" "), F.array_join(T.tokens(text), " "), F.lit(" "))
+
+
 def zone_texts(blocks: DataFrame) -> DataFrame:
     """(doc_id, zone, plain, skeleton): a zone's tokens in reading order, as space-framed strings."""
-    frame = lambda s: F.concat(F.lit(" "), F.array_join(T.tokens(s), " "), F.lit(" "))
     joined = blocks.groupBy("doc_id", "zone").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("t"))
-    return joined.select("doc_id", "zone", frame(T.fold(F.col("t"))).alias("plain"), frame(T.skeleton(T.fold(F.col("t")))).alias("skeleton"))
+    return joined.select("doc_id", "zone", framed(T.fold(F.col("t"))).alias("plain"), framed(T.skeleton(T.fold(F.col("t")))).alias("skeleton"))
+
+
+def plain_zone_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """zone_texts() of plain texts, whose lines are all one body zone: no row moves."""
+    t = F.array_join(text_lines(F.col(text_col)), " ")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.lit("body").alias("zone"), T.fold(t).alias("_f")).where("_f != ''")
+    return d.select("doc_id", "zone", framed(F.col("_f")).alias("plain"), framed(T.skeleton(F.col("_f"))).alias("skeleton"))
 
 
-def anchor_hits(blocks: DataFrame, anchors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def anchor_hits(blocks: DataFrame, anchors: DataFrame, settings: Settings = DEFAULTS, zones: DataFrame | None = None) -> DataFrame:
     """(doc_id, doctype_id, ord, zone, match, decisive, weight): each anchor at the heaviest zone that has it.
 
     anchors (a small table: doctype_id, ord, text, decisive, zone) are prepared once and broadcast. An anchor
     matches as a run of tokens, else of skeleton tokens; one of up to anchor_caps_length characters also has to be
-    printed in capitals; a pinned zone is the only one searched."""
-    framed = lambda s: F.concat(F.lit(" "), F.array_join(T.tokens(s), " "), F.lit(" "))
+    printed in capitals; a pinned zone is the only one searched. zones: the texts of the zones, if they are at hand."""
     a = anchors.select("doctype_id", "ord", F.col("text").alias("anchor"), "decisive", F.col("zone").alias("pinned"), framed(T.fold(F.col("text"))).alias("a_plain"), framed(T.skeleton(T.fold(F.col("text")))).alias("a_skeleton"), specificity(F.col("text")).alias("specificity"))
-    z = zone_texts(blocks)
+    z = zone_texts(blocks) if zones is None else zones
     found = z.join(F.broadcast(a), (F.col("pinned").isNull() | (F.col("pinned") == F.col("zone"))) & F.col("skeleton").contains(F.col("a_skeleton")))
     found = found.withColumn("match", F.when(F.col("plain").contains(F.col("a_plain")), "token").otherwise("skeleton"))
     rank = F.array_position(F.array(*[F.lit(x) for x in ZONE_ORDER]), F.col("zone"))
     best = found.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "doctype_id", "ord").orderBy(rank))).where("_k = 1")
     short = F.length(F.trim("anchor")) <= settings.anchor_caps_length
-    caps = caps_skeletons(blocks).withColumnRenamed("token", "_cap").withColumnRenamed("doc_id", "_doc")
+    caps = caps_skeletons(blocks, settings.anchor_caps_length).withColumnRenamed("token", "_cap").withColumnRenamed("doc_id", "_doc")
     sure = best.where(~short).unionByName(best.where(short).join(caps, (F.col("doc_id") == F.col("_doc")) & (F.trim("a_skeleton") == F.col("_cap")), "left_semi"))
     weight = F.col("specificity") * F.when(F.col("match") == "token", 1.0).otherwise(0.95) * zone_factor(F.col("zone"), settings) * F.when(F.col("decisive"), settings.decisive_factor).otherwise(1.0)
     return sure.select("doc_id", "doctype_id", "ord", "zone", "match", "decisive", F.round(weight, 6).alias("weight"))
 
 
-def negative_hits(blocks: DataFrame, negatives: DataFrame) -> DataFrame:
+def negative_hits(blocks: DataFrame, negatives: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """(doc_id, doctype_id, ord) of negative anchors found anywhere, as tokens or skeleton tokens."""
-    framed = F.concat(F.lit(" "), F.array_join(T.tokens(T.skeleton(T.fold(F.col("text")))), " "), F.lit(" "))
-    return zone_texts(blocks).join(F.broadcast(negatives.select("doctype_id", "ord", framed.alias("a"))), F.col("skeleton").contains(F.col("a"))).select("doc_id", "doctype_id", "ord").distinct()
+    z = zone_texts(blocks) if zones is None else zones
+    a = negatives.select("doctype_id", "ord", framed(T.skeleton(T.fold(F.col("text")))).alias("a"))
+    return z.join(F.broadcast(a), F.col("skeleton").contains(F.col("a"))).select("doc_id", "doctype_id", "ord").distinct()
 
 
 def anchor_scores(hits: DataFrame, negatives: DataFrame, anchors: DataFrame, checks: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:

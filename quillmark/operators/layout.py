@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from quillmark.settings import DEFAULTS, Settings
 
 
+LINE_END = r"\r\n|[\n\r\u000B\u000C\u0085  ]"
+
+
 def clean_block(text: Column) -> Column:
     """Control characters become spaces, and white space is collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f-\x9f]", " "), r"\s+", " "))
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = DEFAULTS) -> DataFrame:
-    """One body block on page 1 per line with text: (doc_id, seq, page, zone, text). seq is reading order from 0."""
-    lines = F.filter(F.transform(F.split(F.col(text_col), r"\r\n|[\n\r\u000B\u000C\u0085  ]"), clean_block), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.slice(lines, 1, settings.most_blocks)).alias("seq", "text"))
-    return rows.select("doc_id", "seq", F.lit(1).alias("page"), F.lit("body").alias("zone"), F.substring("text", 1, settings.most_block_chars).alias("text"))
+def text_lines(text: Column) -> Column:
+    """The cleaned lines of a whole text that aren't empty."""
+    return F.filter(F.transform(F.split(text, LINE_END), clean_block), lambda x: x != "")
+
+
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", caps: Settings | None = None) -> DataFrame:
+    """One body block on page 1 per line with text: (doc_id, seq, page, zone, text). seq is reading order from 0.
+
+    Whole texts; caps is for untrusted files: with it lines and their characters are bounded, and a further column
+    truncated says for each row whether its text, or its document, was cut."""
+    if caps is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(text_lines(F.col(text_col))).alias("seq", "text")).select("doc_id", "seq", F.lit(1).alias("page"), F.lit("body").alias("zone"), "text")
+    d = docs.select(F.col(id_col).alias("doc_id"), text_lines(F.col(text_col)).alias("_l"))
+    rows = d.select("doc_id", (F.size("_l") > caps.most_blocks).alias("_more"), F.posexplode(F.slice("_l", 1, caps.most_blocks)).alias("seq", "_t"))
+    return rows.select("doc_id", "seq", F.lit(1).alias("page"), F.lit("body").alias("zone"), F.substring("_t", 1, caps.most_block_chars).alias("text"), (F.col("_more") | (F.length("_t") > caps.most_block_chars)).alias("truncated"))
 
 
 def limit_chars(blocks: DataFrame, most_chars: int) -> DataFrame:

@@ -28,31 +28,53 @@ def zone_weight(zone: Column, settings: Settings = DEFAULTS) -> Column:
 
 def block_tokens(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(doc_id, zone, weight, tokens): the skeleton tokens of each block."""
-    return blocks.select("doc_id", "zone", zone_weight(F.col("zone"), settings).alias("weight"), T.tokens(T.skeleton(T.fold(F.col("text")))).alias("tokens")).where(F.size("tokens") > 0)
+    return blocks.select("doc_id", "zone", zone_weight(F.col("zone"), settings).alias("weight"), T.tokens(T.skeleton(T.fold(F.col("text")))).alias("tokens"))
 
 
-def caps_skeletons(blocks: DataFrame) -> DataFrame:
-    """(doc_id, token): skeletons of the tokens that a document prints in capitals somewhere."""
-    words = blocks.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).where((F.col("w") == F.upper("w")) & (F.col("w") != F.lower("w")))
-    return words.select("doc_id", T.skeleton(T.fold(F.col("w"))).alias("token")).distinct()
+def capitals(text: Column) -> Column:
+    """The skeletons of a text's tokens in capitals, as an array."""
+    return F.transform(F.filter(T.tokens(text), lambda w: (w == F.upper(w)) & (w != F.lower(w))), lambda w: T.skeleton(T.fold(w)))
+
+
+def caps_skeletons(blocks: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, token): skeletons of the tokens that a document prints in capitals somewhere, of at most so many characters."""
+    words = blocks.select("doc_id", F.explode(F.array_distinct(capitals(F.col("text")))).alias("token"))
+    return (words if most is None else words.where(F.length("token") <= most)).distinct()
+
+
+LENGTH = ""  # stands for a document's weighted length among its terms; no token is empty
+
+
+def weighted_terms(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(doc_id, term, kind, x): what each block adds to its document's terms. kind 0 always counts, 1 if the document prints
+    the term in capitals somewhere, and 2 says that it does. Each block is tokenised once; no row moves."""
+    short = lambda w: F.length(w) <= settings.caps_length
+    b = blocks.select("doc_id", zone_weight(F.col("zone"), settings).alias("weight"), T.tokens(T.skeleton(T.fold(F.col("text")))).alias("w"), F.filter(capitals(F.col("text")), short).alias("caps"))
+    row = lambda term, kind, n: F.struct(term.alias("term"), kind.alias("kind"), n.alias("n"))
+    one, none = F.lit(1), F.lit(0)
+    every = F.concat(
+        F.transform("w", lambda w: row(w, F.when(short(w), one).otherwise(none), one)), F.transform(T.ngrams(F.col("w"), 2), lambda w: row(w, none, one)),
+        F.transform(F.array_distinct("caps"), lambda w: row(w, F.lit(2), none)), F.array(row(F.lit(LENGTH), none, F.size("w"))),
+    )
+    return b.select("doc_id", "weight", F.explode(every).alias("e")).select("doc_id", "e.term", "e.kind", (F.col("weight") * F.col("e.n")).alias("x"))
+
+
+def summed_terms(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """weighted_terms() -> (doc_id, term, tf); short unigrams stay only with a capital mark."""
+    g = rows.groupBy("doc_id", "term").agg(F.sum(F.when(F.col("kind") < 2, F.col("x"))).alias("tf"), F.max("kind").alias("_kind"), F.min("kind").alias("_least"))
+    return g.where((F.col("_least") == 0) | (F.col("_least") == 1) & (F.col("_kind") == 2)).select("doc_id", "term", "tf")
 
 
 def document_terms(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(doc_id, term, tf): weighted counts of unigrams and of bigrams within a block. Unigrams of up to caps_length
-    characters count only if the document prints them in capitals. Partial sums come before the one shuffle."""
-    b = block_tokens(blocks, settings)
-    one = b.select("doc_id", "weight", F.explode("tokens").alias("term"))
-    long = one.where(F.length("term") > settings.caps_length)
-    short = one.where(F.length("term") <= settings.caps_length).groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
-    short = short.join(caps_skeletons(blocks).withColumnRenamed("token", "term"), ["doc_id", "term"], "left_semi")
-    two = b.select("doc_id", "weight", F.explode(T.ngrams(F.col("tokens"), 2)).alias("term"))
-    cols = ("doc_id", "term", "weight")
-    return long.select(*cols).union(short.select(*cols)).union(two.select(*cols)).groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
+    characters count only if the document prints them in capitals. One shuffle, after partial sums."""
+    return summed_terms(weighted_terms(blocks, settings).where(F.col("term") != LENGTH), settings)
 
 
 def document_lengths(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, length): weighted number of unigrams."""
-    return block_tokens(blocks, settings).groupBy("doc_id").agg(F.sum(F.col("weight") * F.size("tokens")).alias("length"))
+    """(doc_id, length): weighted number of unigrams, of documents that have any."""
+    n = block_tokens(blocks, settings).groupBy("doc_id").agg(F.sum(F.col("weight") * F.size("tokens")).alias("length"))
+    return n.where("length > 0")
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
@@ -60,28 +82,31 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     bigrams with at least one content word at 0.75."""
     stop = skeleton_stopwords()
     t = labelled.select("class", T.tokens(T.skeleton(T.fold(F.col("text")))).alias("w"))
-    one = t.select("class", F.explode("w").alias("term"), F.lit(1.0).alias("n")).where((F.length("term") > 1) & ~F.col("term").isin(*stop))
-    two = t.select("class", F.explode(T.ngrams(F.col("w"), 2)).alias("term"), F.lit(0.75).alias("n"))
-    parts = F.split("term", " ")
-    two = two.where(~(F.get(parts, F.lit(0)).isin(*stop) & F.get(parts, F.lit(1)).isin(*stop)))
-    return one.union(two).groupBy("class", "term").agg(F.sum("n").alias("n"))
+    content = lambda w: ~w.isin(*stop)
+    one = F.transform(F.filter("w", lambda w: (F.length(w) > 1) & content(w)), lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("n")))
+    two = F.transform(F.filter(T.ngrams(F.col("w"), 2), lambda w: content(F.substring_index(w, " ", 1)) | content(F.substring_index(w, " ", -1))), lambda w: F.struct(w.alias("term"), F.lit(0.75).alias("n")))
+    return t.select("class", F.explode(F.concat(one, two)).alias("x")).groupBy("class", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"))
+
+
+def profile_scores(settings: Settings = DEFAULTS) -> Column:
+    """z of a term in a class from n, y_w (of the term), n_c (of the class) and total."""
+    a0 = settings.prior_strength
+    alpha, rest = F.lit(a0) * F.col("y_w") / F.col("total"), F.greatest(F.col("y_w") - F.col("n"), F.lit(0.0))
+    inside, outside = F.col("n") + alpha, rest + alpha
+    delta = F.ln(inside / F.greatest(F.col("n_c") + a0 - F.col("n") - alpha, F.lit(1e-9))) - F.ln(outside / F.greatest(F.col("total") - F.col("n_c") + a0 - rest - alpha, F.lit(1e-9)))
+    return delta / F.sqrt(1 / inside + 1 / outside)
 
 
 def log_odds_profiles(counts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(class, term, n) -> (class, term, z, weight): log-odds with an informative Dirichlet prior; the terms with the
     largest positive z of each class, with weights that sum to 1. Equal z go by term.
 
-    Class and corpus totals are small aggregates; only the term totals shuffle the counts."""
+    The counts meet their totals in one pass: the classes of a term are one group of a shuffle by term; class and corpus
+    totals are small aggregates of the same counts, whose shuffle is reused."""
     per_class = counts.groupBy("class").agg(F.sum("n").alias("n_c"))
-    per_term = counts.groupBy("term").agg(F.sum("n").alias("y_w"))
-    total = counts.agg(F.sum("n").alias("total"))
-    j = counts.join(per_term, "term").join(F.broadcast(per_class), "class").join(F.broadcast(total))  # totals: one row, and one a class
-    a0 = settings.prior_strength
-    alpha, rest = F.lit(a0) * F.col("y_w") / F.col("total"), F.greatest(F.col("y_w") - F.col("n"), F.lit(0.0))
-    j = j.withColumn("alpha", alpha).withColumn("rest", rest)
-    inside, outside = F.col("n") + F.col("alpha"), F.col("rest") + F.col("alpha")
-    delta = F.ln(inside / F.greatest(F.col("n_c") + a0 - F.col("n") - F.col("alpha"), F.lit(1e-9))) - F.ln(outside / F.greatest(F.col("total") - F.col("n_c") + a0 - F.col("rest") - F.col("alpha"), F.lit(1e-9)))
-    z = j.select("class", "term", (delta / F.sqrt(1 / inside + 1 / outside)).alias("z")).where("z > 0")
+    total = per_class.agg(F.sum("n_c").alias("total"))
+    j = counts.withColumn("y_w", F.sum("n").over(Window.partitionBy("term"))).join(F.broadcast(per_class.crossJoin(total)), "class")  # one row a class
+    z = j.select("class", "term", profile_scores(settings).alias("z")).where("z > 0")
     top = z.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy(F.round("z", 9).desc(), "term"))).where(F.col("k") <= settings.profile_terms)
     return top.select("class", "term", F.round("z", 4).alias("z"), F.round(F.col("z") / F.sum("z").over(Window.partitionBy("class")), 6).alias("weight"))
 
@@ -92,19 +117,23 @@ def idf(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", F.ln(1 + (F.col("n_classes") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(terms: DataFrame, lengths: DataFrame, profiles: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, class, raw, explained, coverage) of every class for every document, zeros included.
+def bm25(blocks: DataFrame, profiles: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(doc_id, class, raw, explained, coverage) of every class for every document with tokens, zeros included.
 
-    The profiles are at most profile_terms rows a class, so they are broadcast; a document's terms meet them before
-    any shuffle. Classes without a hit are filled in from the list of classes."""
+    profiles are at most profile_terms rows a class, so they are broadcast. A block's terms meet them before any
+    shuffle; what is left is shuffled once, by document, and its length goes along as a term of its own that every class
+    has at weight 0: so documents without a hit come out with zeros. profiles is used more than once and should be a
+    written table."""
     p = profiles.join(idf(profiles), "term").select("class", "term", "weight", "idf")
+    p = p.unionByName(profiles.select("class").distinct().select("class", F.lit(LENGTH).alias("term"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("idf")))
+    rows = weighted_terms(blocks, settings).join(F.broadcast(p.select("term").distinct()), "term", "left_semi").repartition("doc_id")
+    terms = summed_terms(rows, settings).withColumn("length", F.max(F.when(F.col("term") == LENGTH, F.col("tf"))).over(Window.partitionBy("doc_id"))).where("length > 0")
     norm = settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("length") / settings.average_length)
-    hit = terms.join(F.broadcast(p), "term").join(lengths, "doc_id").withColumn("sat", F.col("tf") / (F.col("tf") + norm))
+    hit = terms.join(F.broadcast(p), "term").withColumn("sat", F.col("tf") / (F.col("tf") + norm))
     got = hit.groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("idf") * F.col("sat") * (settings.bm25_k1 + 1)).alias("raw"), F.sum(F.col("weight") * F.greatest("idf", F.lit(0.0)) * F.col("sat")).alias("shown"), F.sum("weight").alias("seen"))
     per_class = p.groupBy("class").agg(F.sum("weight").alias("mass"), F.sum(F.col("weight") * F.greatest("idf", F.lit(0.0))).alias("available"))
-    every = lengths.select("doc_id").join(F.broadcast(per_class)).join(got, ["doc_id", "class"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return every.select("doc_id", "class", F.round(zero(F.col("raw")), 6).alias("raw"), F.round(zero(F.col("shown") / F.col("available")), 6).alias("explained"), F.round(zero(F.col("seen") / F.col("mass")), 6).alias("coverage"))
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return got.join(F.broadcast(per_class), "class").select("doc_id", "class", F.round("raw", 6).alias("raw"), part(F.col("shown"), F.col("available")).alias("explained"), part(F.col("seen"), F.col("mass")).alias("coverage"))
 
 
 def robust_z(scores: DataFrame, by: str = "doc_id", value: str = "raw") -> DataFrame:

@@ -14,6 +14,7 @@ from quillmark.operators import evaluate, extract, layout, lexical, review, segm
 from quillmark.plans import registry as R
 from quillmark.plans.oracles import ORACLES
 from quillmark.sources.ingest import html_blocks
+from quillmark.tables import local_rows, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def doc_blocks(spark, sf_dir):
 
 def doc_normal_forms(spark, sf_dir):
     f = T.fold(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", F.md5(f.cast("binary")).alias("folded"), F.md5(T.skeleton(f).cast("binary")).alias("skeleton"), F.size(T.tokens(T.skeleton(f))).cast("long").alias("n_tokens"), F.md5(T.redact(F.col("text")).cast("binary")).alias("redacted"), T.slug(F.substring("text", 1, 40)).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(f.cast("binary")).alias("folded"), F.md5(T.skeleton(f).cast("binary")).alias("skeleton"), F.size(T.tokens(T.skeleton(f))).cast("long").alias("n_tokens"), F.md5(T.redact(F.col("text")).cast("binary")).alias("redacted"), F.md5(T.slug(F.col("text")).cast("binary")).alias("slug"))
 
 
 def _blocks(spark, sf_dir):
@@ -59,6 +60,10 @@ def _profiles(spark, sf_dir):
     return lexical.log_odds_profiles(lexical.class_counts(d.select(F.concat(F.lit("prose_"), "lang").alias("class"), "text")))
 
 
+def _zones(spark, sf_dir):
+    return A.plain_zone_texts(documents(spark, sf_dir))
+
+
 def term_profiles(spark, sf_dir):
     return _profiles(spark, sf_dir).select("class", "term", "z", "weight")
 
@@ -68,8 +73,7 @@ def profile_doc_freq(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    return lexical.bm25(lexical.document_terms(b), lexical.document_lengths(b), _profiles(spark, sf_dir))
+    return lexical.bm25(_blocks(spark, sf_dir), written(_profiles(spark, sf_dir)))
 
 
 def bm25_scores(spark, sf_dir):
@@ -82,16 +86,16 @@ def softmax_rank(spark, sf_dir):
 
 
 def anchor_hits(spark, sf_dir):
-    return A.anchor_hits(_blocks(spark, sf_dir), R.anchors(spark)).select("doc_id", "doctype_id", F.col("ord").cast("long").alias("ord"), "zone", "match", "weight")
+    return A.anchor_hits(_blocks(spark, sf_dir), R.anchors(spark), zones=_zones(spark, sf_dir)).select("doc_id", "doctype_id", F.col("ord").cast("long").alias("ord"), "zone", "match", "weight")
 
 
 def negative_hits(spark, sf_dir):
-    return A.negative_hits(_blocks(spark, sf_dir), R.negatives(spark)).groupBy("doctype_id").agg(F.count("*").alias("n"))
+    return A.negative_hits(_blocks(spark, sf_dir), R.negatives(spark), _zones(spark, sf_dir)).groupBy("doctype_id").agg(F.count("*").alias("n"))
 
 
 def _anchor_scores(spark, sf_dir):
-    b, a = _blocks(spark, sf_dir), R.anchors(spark)
-    return A.anchor_scores(A.anchor_hits(b, a), A.negative_hits(b, R.negatives(spark)), a)
+    b, a, z = _blocks(spark, sf_dir), R.anchors(spark), _zones(spark, sf_dir)
+    return A.anchor_scores(A.anchor_hits(b, a, zones=z), A.negative_hits(b, R.negatives(spark), z), a)
 
 
 def anchor_bits(spark, sf_dir):
@@ -99,7 +103,7 @@ def anchor_bits(spark, sf_dir):
 
 
 def contested_claims(spark, sf_dir):
-    hits = A.anchor_hits(_blocks(spark, sf_dir), R.anchors(spark))
+    hits = A.anchor_hits(_blocks(spark, sf_dir), R.anchors(spark), zones=_zones(spark, sf_dir))
     return A.uncontested(hits, R.anchors(spark)).groupBy("doctype_id").agg(F.count("*").alias("n"))
 
 
@@ -135,7 +139,7 @@ def validated_numbers(spark, sf_dir):
 def structural_facts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (F.col("page_id") % 7 * 200 + 400).cast("double").alias("width"), F.lit(792.0).alias("height"), F.when(F.col("page_id") % 2 == 0, "inch").otherwise("pixel").alias("unit"), F.lit(0.0).alias("angle"))
     f = layout.structural_features(pages, _blocks(spark, sf_dir))
-    kinds = spark.createDataFrame(R.KINDS, "doctype_id string, category string, wants_mrz boolean, wants_marks boolean, wants_tables boolean")
+    kinds = local_rows(spark, R.KINDS, "doctype_id string, category string, wants_mrz boolean, wants_marks boolean, wants_tables boolean")
     extra = f.withColumn("table_count", F.col("doc_id") % 4).withColumn("mark_count", F.col("doc_id") % 3).withColumn("has_mrz", F.col("doc_id") % 5 == 0)
     return layout.structural_prior(extra, kinds).join(f, "doc_id").select("doc_id", "doctype_id", "prior", "page_count", "aspect_ratio", "landscape", "digital", "block_count", "char_count")
 
@@ -151,7 +155,7 @@ def _bundle(spark, sf_dir):
 
 
 def bundle_boundaries(spark, sf_dir):
-    markers = spark.createDataFrame([(m,) for m in R.MARKERS], "marker string")
+    markers = local_rows(spark, [(m,) for m in R.MARKERS], "marker string")
     return segments.candidate_boundaries(_bundle(spark, sf_dir), markers)
 
 

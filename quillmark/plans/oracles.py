@@ -34,7 +34,7 @@ def values(rows: list[tuple]) -> str:
 
 
 LINES = r"'\r\n|[\n\r\v\f\x{85}\x{2028}\x{2029}]'"
-BLOCKS = f"blocks AS (SELECT doc_id, unnest(range(len(l))) AS seq, substr(unnest(l), 1, 32768) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, {LINES}), lambda x: {clean('x')}), lambda x: x <> '') AS l FROM documents))"
+BLOCKS = f"blocks AS (SELECT doc_id, unnest(range(len(l))) AS seq, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, {LINES}), lambda x: {clean('x')}), lambda x: x <> '') AS l FROM documents))"
 TOKENS = f"toks AS (SELECT doc_id, seq, {tokens(skeleton(fold('text')))} AS w FROM blocks)"
 CAPS = f"caps AS (SELECT DISTINCT doc_id, {skeleton(fold('w'))} AS token FROM (SELECT doc_id, unnest({tokens('text')}) AS w FROM blocks) WHERE w = upper(w) AND w <> lower(w))"
 BIGRAM = "unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
@@ -99,7 +99,7 @@ _KIND_SQL = (
 
 ORACLES = {
     "doc_blocks": f"WITH {BLOCKS} SELECT doc_id, seq, 'body' AS zone, text FROM blocks",
-    "doc_normal_forms": f"SELECT doc_id, md5({fold('text')}) AS folded, md5({skeleton(fold('text'))}) AS skeleton, len({tokens(skeleton(fold('text')))}) AS n_tokens, md5(CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE repeat('*', length(text) - 4) || right(text, 4) END) AS redacted, regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents",
+    "doc_normal_forms": f"SELECT doc_id, md5({fold('text')}) AS folded, md5({skeleton(fold('text'))}) AS skeleton, len({tokens(skeleton(fold('text')))}) AS n_tokens, md5(CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE repeat('*', length(text) - 4) || right(text, 4) END) AS redacted, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM documents",
     "doc_terms": f"{_LEX} SELECT doc_id, term, tf FROM terms",
     "doc_lengths": f"{_LEX} SELECT doc_id, length FROM lengths",
     "doc_bigrams": f"WITH {BLOCKS}, {TOKENS} SELECT bigram, count(*) AS n FROM (SELECT {BIGRAM} AS bigram FROM toks) GROUP BY bigram",

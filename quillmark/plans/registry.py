@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions.validators import VALIDATORS
+from quillmark.tables import local_rows
 
 ANCHORS = [
     ("licensed", 0, "licensed under the", False, None), ("licensed", 1, "General Public License", True, None), ("licensed", 2, "Apache License", True, None), ("licensed", 3, "MIT", False, None),
@@ -22,15 +23,15 @@ MARKERS = ["and the", "ing th", "de la"]
 
 
 def anchors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANCHORS, "doctype_id string, ord int, text string, decisive boolean, zone string")
+    return local_rows(spark, ANCHORS, "doctype_id string, ord int, text string, decisive boolean, zone string")
 
 
 def negatives(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NEGATIVES, "doctype_id string, ord int, text string")
+    return local_rows(spark, NEGATIVES, "doctype_id string, ord int, text string")
 
 
 def patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERNS, "name string, pattern string")
+    return local_rows(spark, PATTERNS, "name string, pattern string")
 
 
 TYPES = ("string", "date", "number", "name", "address", "id", "bool")
