@@ -135,21 +135,30 @@ def _pairs(wanted: frozenset[int] | None):
     return run
 
 
-def _holding(wanted: frozenset[str] | None):
-    """(term, text_hash) of each text's distinct terms, of the wanted ones only if these are given."""
+def _holding(wanted: dict[str, int] | None):
+    """(term, text_hash) of each text's distinct terms. wanted: the terms to look for, and the number of texts beyond which a
+    term can't be sensitive; a task passes on one text more than that at most, which is enough to know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[int]] = {}
         for b in batches:
             terms, texts = [], []
             for v in b.column(0):
                 t = v.as_py()
                 if not t:
                     continue
-                found = terms_of(t)
-                found = found & wanted if wanted is not None else found
-                if found:
-                    terms += found
-                    texts += [text_hash(t)] * len(found)
+                found, h = terms_of(t), None
+                if wanted is not None:
+                    found &= wanted.keys()
+                for w in found:
+                    h = text_hash(t) if h is None else h
+                    if wanted is not None:
+                        own = seen.setdefault(w, set())
+                        if len(own) > wanted[w] or h in own:
+                            continue
+                        own.add(h)
+                    terms.append(w)
+                    texts.append(h)
                 if len(terms) > 200_000:
                     yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
                     terms, texts = [], []
@@ -158,6 +167,16 @@ def _holding(wanted: frozenset[str] | None):
     return run
 
 
+def most_texts(hits: int) -> int:
+    """The most texts with a term of which so many hold an entity, for the bound of the share to reach MIN_SHARE."""
+    n = hits
+    while True:
+        n += 1
+        p = hits / n
+        if (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n) < MIN_SHARE:
+            return n - 1
+
+
 def lower_bound(hits: Column, n: Column) -> Column:
     """Wilson's lower bound of the share hits / n at Z standard errors."""
     p = hits / n
@@ -176,12 +195,12 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = frozenset(r.entity for r in entities.select("entity").collect()) if n <= BROADCAST_ROWS // 10 else None
     together = arrow_map(texts, _pairs(wanted), "term string, entity long, text_hash long").distinct()
     counts = materialize(together.groupBy("term", "entity").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= LEAST_TEXTS).join(entities, "entity"))
-    candidates = materialize(counts.select("term").distinct())
+    candidates = materialize(counts.groupBy("term").agg(F.max("n_et").alias("most")))
     n = candidates.count()
     if n <= BROADCAST_ROWS // 10:
-        held = arrow_map(texts, _holding(frozenset(r.term for r in candidates.collect())), "term string, text_hash long")
+        held = arrow_map(texts, _holding({r.term: most_texts(r.most) for r in candidates.collect()}), "term string, text_hash long")
     else:
-        held = arrow_map(texts, _holding(None), "term string, text_hash long").join(candidates, "term")
+        held = arrow_map(texts, _holding(None), "term string, text_hash long").join(candidates.select("term"), "term")
     n_t = materialize(held.distinct().groupBy("term").agg(F.count("*").alias("n_t")))
     bits = F.log2(F.col("n_et") / F.col("n_t") / (F.col("n_e") / F.lit(float(max(n_texts, 1)))))
     return counts.join(n_t, "term").where((lower_bound(F.col("n_et"), F.col("n_t")) >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(bits).alias("bits"))
