@@ -250,8 +250,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    from quillmark.plans import forms_catalog
+
+    return {f.__name__: f for f in ALL} | forms_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from quillmark.plans import forms_oracles
+
+    return ORACLES | forms_oracles.ORACLES

@@ -34,9 +34,14 @@ class Limits:
     archive_entries: int = 4_096
     archive_bytes: int = 256 << 20
     ratio: int = 500
+    seconds: float = 20.0
+    images: int = 10
 
 
 LIMITS = Limits()
+_ALL = 1 << 62
+#: For texts that are one's own: nothing is left out.
+UNLIMITED = Limits(_ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, _ALL, float("inf"), _ALL)
 
 
 class Refused(ValueError):
@@ -62,6 +67,31 @@ def image_size(content: Column) -> Column:
     return F.when(h.startswith(MAGIC["image/png"]), size(big(16, 4), big(20, 4))).when(h.startswith("474946383"), size(little(6), little(8))).when(h.startswith("424D"), size(little(18), little(22)))
 
 
+def tiff_frames(data: bytes) -> list[tuple[int, int]]:
+    """(width, height) of each image of a TIFF file, by its directories; at most 1,000, and a loop ends."""
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+    if order is None or int.from_bytes(data[2:4], order) != 42:
+        return []
+    out, seen, at = [], set(), int.from_bytes(data[4:8], order)
+    while at and at not in seen and at + 2 <= len(data) and len(out) < 1000:
+        seen.add(at)
+        n, size = int.from_bytes(data[at : at + 2], order), {}
+        for k in range(n):
+            e = data[at + 2 + 12 * k : at + 14 + 12 * k]
+            tag, kind = int.from_bytes(e[:2], order), int.from_bytes(e[2:4], order)
+            if tag in (256, 257):
+                size[tag] = int.from_bytes(e[8:10] if kind == 3 else e[8:12], order)
+        out.append((size.get(256, 0), size.get(257, 0)))
+        at = int.from_bytes(data[at + 2 + 12 * n : at + 6 + 12 * n], order)
+    return out
+
+
+def embedded_images(data: bytes, limits: Limits = LIMITS) -> list[str]:
+    """The first pictures inside an office package."""
+    z = open_archive(data, limits)
+    return [n for n in z.namelist() if re.search(r"(?:^|/)(?:media|Pictures)/[^/]+\.(?:png|jpe?g|gif|bmp|tiff?)$", n, re.I)][: limits.images]
+
+
 def open_archive(data: bytes, limits: Limits = LIMITS) -> zipfile.ZipFile:
     """A zip file whose directory promises nothing beyond the limits."""
     try:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources import formats, readers
+from quillmark.sources import compound, formats, readers
 
 RESULT = (
     "path string, status string, media_type string, reason string, limits_hit array<string>, "
@@ -26,12 +26,14 @@ def read_one(data: bytes, name: str = "", limits: formats.Limits = formats.LIMIT
         if len(data) > limits.bytes:
             raise formats.Refused("file_too_large")
         media = formats.detect(data, name)
-        reader = readers.READERS.get(media)
+        reader = compound.message if media == "application/x-ole-storage" else readers.READERS.get(media)
         if reader is None:
             status = ("needs_ocr", "no_text_layer_reader") if media.startswith("image/") or media == "application/pdf" else ("error", "unsupported_type")
             return status[0], media, status[1], [], [], []
         reader(data, view)
         if not view.blocks and not view.cells:
+            if media in (*formats.PARTS.values(), formats.ODT) and formats.embedded_images(data, limits):
+                return "needs_ocr", media, "embedded_images", view.hit, [], []
             raise formats.Refused("no_text")
     except formats.Refused as e:
         return "error", media, str(e), view.hit, [], []
@@ -55,20 +57,21 @@ def ingest_folder(spark: SparkSession, path: str) -> DataFrame:
     return ingest(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(doc_id, seq, page, zone, text) of HTML text columns."""
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limits: formats.Limits = formats.UNLIMITED) -> DataFrame:
+    """(doc_id, seq, page, zone, text, limits_hit) of HTML text columns. Whole texts; with limits, for pages of strangers,
+    limits_hit names on every block of a document what was left out of it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for i, h in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
-                view = readers.View()
+                view = readers.View(limits)
                 if h:
                     readers.html_text(h, view)
-                rows += [(i, *b) for b in view.blocks]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "page", "zone", "text"])
+                rows += [(i, *b, ",".join(view.hit)) for b in view.blocks]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "page", "zone", "text", "limits_hit"])
 
-    return pages.select(F.col(id_col), F.col(html_col)).mapInPandas(run, "doc_id long, seq int, page int, zone string, text string")
+    return pages.select(F.col(id_col), F.col(html_col)).mapInPandas(run, "doc_id long, seq int, page int, zone string, text string, limits_hit string")
 
 
 # layout payloads as JSON

@@ -7,6 +7,7 @@ import email
 import email.policy
 import io
 import re
+import time
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
@@ -19,6 +20,7 @@ class View:
 
     def __init__(self, limits: Limits = LIMITS):
         self.limits, self.blocks, self.cells, self.tables, self.chars, self.hit = limits, [], [], 0, 0, []
+        self.until = time.monotonic() + limits.seconds
 
     def _over(self, name: str) -> bool:
         if name not in self.hit:
@@ -26,6 +28,8 @@ class View:
         return False
 
     def block(self, text: str | None, zone: str = "body", page: int = 1) -> bool:
+        if time.monotonic() > self.until:
+            raise Refused("time_limit")
         text = re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f-\x9f]", " ", text or "")).strip()
         if not text:
             return False
