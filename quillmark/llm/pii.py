@@ -135,34 +135,42 @@ def _pairs(wanted: frozenset[int] | None):
     return run
 
 
-def _holding(wanted: dict[str, int] | None):
-    """(term, text_hash) of each text's distinct terms. wanted: the terms to look for, and the number of texts beyond which a
-    term can't be sensitive; a task passes on one text more than that at most, which is enough to know."""
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, text_hash) of each text's distinct terms."""
+    for b in batches:
+        terms, texts = [], []
+        for v in b.column(0):
+            t = v.as_py()
+            found = terms_of(t) if t else ()
+            terms += found
+            texts += [text_hash(t)] * len(found) if found else []
+            if len(terms) > 200_000:
+                yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
+                terms, texts = [], []
+        yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
+
+
+def _counting(most: dict[str, int]):
+    """(term, over, texts): what a task knows of each term: the hashes of the texts that hold it, or over and none of them if
+    these are more than most[term], with which the term can't be sensitive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, set[int]] = {}
+        seen: dict[str, set[int] | None] = {}
         for b in batches:
-            terms, texts = [], []
             for v in b.column(0):
                 t = v.as_py()
-                if not t:
-                    continue
-                found, h = terms_of(t), None
-                if wanted is not None:
-                    found &= wanted.keys()
+                found = terms_of(t) & most.keys() if t else ()
+                h = text_hash(t) if found else 0
                 for w in found:
-                    h = text_hash(t) if h is None else h
-                    if wanted is not None:
-                        own = seen.setdefault(w, set())
-                        if len(own) > wanted[w] or h in own:
-                            continue
+                    own = seen.setdefault(w, set())
+                    if own is not None:
                         own.add(h)
-                    terms.append(w)
-                    texts.append(h)
-                if len(terms) > 200_000:
-                    yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
-                    terms, texts = [], []
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(texts, pa.int64())], ["term", "text_hash"])
+                        if len(own) > most[w]:
+                            seen[w] = None
+        rows = list(seen.items())
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            yield pa.record_batch([pa.array([w for w, _ in part], pa.string()), pa.array([x is None for _, x in part], pa.bool_()), pa.array([sorted(x or ()) for _, x in part], pa.list_(pa.int64()))], ["term", "over", "texts"])
 
     return run
 
@@ -198,9 +206,11 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     candidates = materialize(counts.groupBy("term").agg(F.max("n_et").alias("most")))
     n = candidates.count()
     if n <= BROADCAST_ROWS // 10:
-        held = arrow_map(texts, _holding({r.term: most_texts(r.most) for r in candidates.collect()}), "term string, text_hash long")
+        known = materialize(arrow_map(texts, _counting({r.term: most_texts(r.most) for r in candidates.collect()}), "term string, over boolean, texts array<long>"))
+        over = known.where("over").select("term").distinct()
+        held = known.where("not over").join(over, "term", "left_anti").select("term", F.explode("texts").alias("text_hash"))
     else:
-        held = arrow_map(texts, _holding(None), "term string, text_hash long").join(candidates.select("term"), "term")
+        held = arrow_map(texts, _holding, "term string, text_hash long").join(candidates.select("term"), "term")
     n_t = materialize(held.distinct().groupBy("term").agg(F.count("*").alias("n_t")))
     bits = F.log2(F.col("n_et") / F.col("n_t") / (F.col("n_e") / F.lit(float(max(n_texts, 1)))))
     return counts.join(n_t, "term").where((lower_bound(F.col("n_et"), F.col("n_t")) >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(bits).alias("bits"))
@@ -263,7 +273,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def spans_with(text: pd.Series, own: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([describe(t, frozenset(o) if o is not None else frozenset()) for t, o in zip(text, own)], columns=names)
 
-    held = materialize(arrow_map(docs.select(F.col(text_col)), _holding(None), "term string, text_hash long").distinct().join(terms, "term").groupBy("text_hash").agg(F.collect_set("term").alias("_own")))
+    held = materialize(arrow_map(docs.select(F.col(text_col)), _holding, "term string, text_hash long").distinct().join(terms, "term").groupBy("text_hash").agg(F.collect_set("term").alias("_own")))
 
     @F.pandas_udf("long")
     def hash_of(text: pd.Series) -> pd.Series:
