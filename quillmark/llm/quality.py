@@ -24,21 +24,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = "' \\t\\n\\u000B\\f\\r'"
 
 
-def words_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds _w, the words of the whole text.
+def _words(text: str) -> str:
+    """SQL for the words of a text.
 
     The condition on the row number always holds. It keeps the optimizer from moving a filter below this step and
-    so from splitting the text again for every element that a lambda looks at.
-    """
-    text = f"btrim(coalesce(`{text_col}`, ''), {_BLANKS})"
-    return docs.withColumn("_w", F.expr(f"if(monotonically_increasing_id() < 0 or {text} = '', array(), split({text}, r'{SPACE}'))"))
+    so from splitting the text again for every element that a lambda looks at."""
+    t = f"btrim({text}, {_BLANKS})"
+    return f"if(monotonically_increasing_id() < 0 or {t} = '', array(), split({t}, r'{SPACE}'))"
+
+
+def words_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds _w, the words of the whole text."""
+    return docs.withColumn("_w", F.expr(_words(f"coalesce(`{text_col}`, '')")))
 
 
 def words_and_grams(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Adds _w, the words of the whole text, and _g, the buckets of its lower-cased unigrams and bigrams."""
-    d = words_of(docs, text_col)
-    d = d.withColumn("_l", F.split(F.lower(F.array_join("_w", " ")), " "))
-    return d.withColumn("_g", F.expr(f"if(size(_w) = 0, array(), concat(transform(_l, x -> cast(pmod(xxhash64(x), {buckets}) as int)), slice(transform(_l, (x, i) -> cast(pmod(xxhash64(x, get(_l, i + 1)), {buckets}) as int)), 1, size(_l) - 1)))")).drop("_l")
+    """Adds _g, the buckets of the lower-cased unigrams and bigrams of the whole text."""
+    d = docs.withColumn("_l", F.expr(_words(f"lower(coalesce(`{text_col}`, ''))")))
+    one, two = f"cast(pmod(xxhash64(x), {buckets}) as int)", f"cast(pmod(xxhash64(x, y), {buckets}) as int)"
+    return d.withColumn("_g", F.expr(f"if(size(_l) = 0, array(), concat(transform(_l, x -> {one}), zip_with(slice(_l, 1, size(_l) - 1), slice(_l, 2, size(_l)), (x, y) -> {two})))")).drop("_l")
 
 
 def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
@@ -68,7 +72,8 @@ def ratio_table(docs: DataFrame, buckets: int, text_col: str = "text") -> DataFr
 def mean_ratios(docs: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
     """(_key, ratio, trusted) for each distinct text with words; _key is the hash of the text. Equal texts leave the mean as it is."""
     table = ratio_table(docs, buckets, text_col)
-    grams = words_and_grams(docs, text_col, buckets).select(F.xxhash64(text_col).alias("_key"), "_t", F.explode_outer("_g").alias("g")).where("g is not null")  # explode would filter on _g, and so compute it again for every element
+    keyed = words_and_grams(docs.withColumn("_key", F.xxhash64(text_col)), text_col, buckets).select("_key", "_t", "_g")  # the key once a text, not once a gram
+    grams = keyed.select("_key", "_t", F.explode_outer("_g").alias("g")).where("g is not null")  # explode would filter on _g, and so compute it again for every element
     grams = grams.select("_key", "_t", F.expr(f"cast(g div {PACK} as int)").alias("pack"), (F.col("g") % PACK).alias("k"))
     table = F.broadcast(table) if buckets <= PACK * PACKED_ROWS else table.hint("shuffle_hash")
     return grams.join(table, "pack").groupBy("_key").agg(F.avg(F.get("ratios", F.col("k"))).alias("ratio"), F.max("_t").alias("trusted"))
