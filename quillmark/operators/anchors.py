@@ -9,6 +9,7 @@ from quillmark.functions import text as T
 from quillmark.operators.layout import text_lines
 from quillmark.operators.lexical import caps_skeletons
 from quillmark.settings import DEFAULTS, Settings
+from quillmark.tables import registry_side
 
 ZONE_ORDER = ("title", "heading", "table", "body", "furniture")
 
@@ -53,7 +54,7 @@ def anchor_hits(blocks: DataFrame, anchors: DataFrame, settings: Settings = DEFA
     printed in capitals; a pinned zone is the only one searched. zones: the texts of the zones, if they are at hand."""
     a = anchors.select("doctype_id", "ord", F.col("text").alias("anchor"), "decisive", F.col("zone").alias("pinned"), framed(T.fold(F.col("text"))).alias("a_plain"), framed(T.skeleton(T.fold(F.col("text")))).alias("a_skeleton"), specificity(F.col("text")).alias("specificity"))
     z = zone_texts(blocks) if zones is None else zones
-    found = z.join(F.broadcast(a), (F.col("pinned").isNull() | (F.col("pinned") == F.col("zone"))) & F.col("skeleton").contains(F.col("a_skeleton")))
+    found = z.join(registry_side(a), (F.col("pinned").isNull() | (F.col("pinned") == F.col("zone"))) & F.col("skeleton").contains(F.col("a_skeleton")))
     found = found.withColumn("match", F.when(F.col("plain").contains(F.col("a_plain")), "token").otherwise("skeleton"))
     rank = F.array_position(F.array(*[F.lit(x) for x in ZONE_ORDER]), F.col("zone"))
     best = found.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "doctype_id", "ord").orderBy(rank))).where("_k = 1")
@@ -68,7 +69,7 @@ def negative_hits(blocks: DataFrame, negatives: DataFrame, zones: DataFrame | No
     """(doc_id, doctype_id, ord) of negative anchors found anywhere, as tokens or skeleton tokens."""
     z = zone_texts(blocks) if zones is None else zones
     a = negatives.select("doctype_id", "ord", framed(T.skeleton(T.fold(F.col("text")))).alias("a"))
-    return z.join(F.broadcast(a), F.col("skeleton").contains(F.col("a"))).select("doc_id", "doctype_id", "ord").distinct()
+    return z.join(registry_side(a), F.col("skeleton").contains(F.col("a"))).select("doc_id", "doctype_id", "ord").distinct()
 
 
 def anchor_scores(hits: DataFrame, negatives: DataFrame, anchors: DataFrame, checks: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
@@ -82,7 +83,7 @@ def anchor_scores(hits: DataFrame, negatives: DataFrame, anchors: DataFrame, che
         capped = checks.withColumn("w", kind).groupBy("doc_id", "doctype_id", "w").count().select("doc_id", "doctype_id", (F.col("w") * F.least(F.col("count"), most)).alias("weight"), F.lit(0).alias("hit"))
         parts = parts.union(capped)
     raw = parts.groupBy("doc_id", "doctype_id").agg(F.sum("weight").alias("raw"), F.sum("hit").alias("hits"))
-    declared = F.broadcast(anchors.groupBy("doctype_id").agg(F.count("*").alias("declared")))
+    declared = registry_side(anchors.groupBy("doctype_id").agg(F.count("*").alias("declared")))
     bits = F.greatest(F.col("raw"), F.lit(0.0))
     return raw.join(declared, "doctype_id", "left").select("doc_id", "doctype_id", F.round(bits, 6).alias("bits"), F.round(F.least(F.lit(settings.score_ceiling), 1 - F.pow(F.lit(0.5), bits)), 4).alias("score"), F.round(F.coalesce(F.col("hits") / F.col("declared"), F.lit(0.0)), 4).alias("coverage"))
 
@@ -90,12 +91,12 @@ def anchor_scores(hits: DataFrame, negatives: DataFrame, anchors: DataFrame, che
 def muted_peers(confusables: DataFrame, muted: DataFrame) -> DataFrame:
     """(doc_id, doctype_id): candidates with a peer, in either direction, that has a muted decisive claim in the document."""
     both = confusables.select("doctype_id", F.col("other_id").alias("peer")).union(confusables.select("other_id", "doctype_id")).distinct()
-    return muted.select("doc_id", F.col("doctype_id").alias("peer")).join(F.broadcast(both), "peer").select("doc_id", "doctype_id").distinct()
+    return muted.select("doc_id", F.col("doctype_id").alias("peer")).join(registry_side(both), "peer").select("doc_id", "doctype_id").distinct()
 
 
 def uncontested(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     """Decisive hits whose text no other doctype declares as decisive."""
     key = T.skeleton(T.fold(F.col("text")))
     claims = anchors.where("decisive").select(key.alias("claim"), "doctype_id").distinct().groupBy("claim").agg(F.count("*").alias("n")).where("n > 1").select("claim")
-    keyed = hits.where("decisive").join(F.broadcast(anchors.select("doctype_id", "ord", key.alias("claim"))), ["doctype_id", "ord"])
-    return keyed.join(F.broadcast(claims), "claim", "left_anti").drop("claim")
+    keyed = hits.where("decisive").join(registry_side(anchors.select("doctype_id", "ord", key.alias("claim"))), ["doctype_id", "ord"])
+    return keyed.join(registry_side(claims), "claim", "left_anti").drop("claim")

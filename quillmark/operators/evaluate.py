@@ -34,16 +34,40 @@ def histogram(value: Column, bounds: list[float]) -> Column:
     return out.otherwise("+Inf")
 
 
+KNN_BLOCK = 4096  # vectors of a side that one task compares
+
+
 def nearest(queries: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
-    """(query_id, label, mean): mean cosine of a query's k nearest exemplars (vec_id, embedding, label) of each label.
-
-    Exemplars are a bounded set and are broadcast; queries stay where they are until their few scores are ranked."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    e = F.broadcast(exemplars.select(F.col("vec_id").alias("e_id"), F.col("embedding").alias("b"), "label"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    s = q.join(e, F.col("query_id") != F.col("e_id")).select("query_id", "e_id", "label", (dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))).alias("cosine"))
-    best = s.groupBy("query_id", "label").agg(F.slice(F.reverse(F.array_sort(F.collect_list("cosine"))), 1, k).alias("top"))
-    return best.select("query_id", "label", (F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")).alias("mean"))
+    """(query_id, label, mean): mean cosine of a query's k nearest exemplars (vec_id, embedding, label) of each label; a vector
+    is not its own exemplar. Null and zero vectors have no neighbours.
+
+    Both sides are cut into blocks by a hash of their ids, and each pair of blocks is one task of bounded size, which
+    passes on k cosines for each query and label; these are merged. One plan for any number of exemplars."""
+    import numpy as np
+    import pandas as pd
+
+    usable = "vec_id is not null and size(embedding) > 0 and exists(embedding, x -> x != 0) and forall(embedding, x -> x is not null)"
+    q, e = queries.where(usable).select("vec_id", "embedding"), exemplars.where(usable).where("label is not null").select("vec_id", "embedding", "label")
+    nq, ne = (max(1, -(-x.count() // KNN_BLOCK)) for x in (q, e))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = q.withColumn("qb", block(nq)).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))))
+    e = e.withColumn("eb", block(ne)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            unit = lambda col: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.stack([np.asarray(x, np.float64) for x in col]))
+            c = unit(a.embedding) @ unit(b.embedding).T
+            c[a.vec_id.to_numpy()[:, None] == b.vec_id.to_numpy()[None, :]] = -np.inf
+            for label, at in b.groupby("label").indices.items():
+                best = -np.sort(-c[:, at], axis=1)[:, :k]
+                rows.append(pd.DataFrame({"query_id": a.vec_id.to_numpy(), "label": label, "top": [[float(x) for x in r if x > -np.inf] for r in best]}))
+        return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "label": [], "top": []})
+
+    label = dict(exemplars.dtypes)["label"]
+    near = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(run, f"query_id long, label {label}, top array<double>")
+    top = near.groupBy("query_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, k).alias("top")).where(F.size("top") > 0)  # k for each block of exemplars
+    return top.select("query_id", "label", (F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")).alias("mean"))
 
 
 def sessions(events: DataFrame, gap_minutes: int) -> DataFrame:

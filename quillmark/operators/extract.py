@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.settings import DEFAULTS, Settings
+from quillmark.tables import registry_side
 
 # fixed values: what a locator's find is worth before anything else is known, and what validation makes of it
 PRIORS = {"kv": 0.90, "mrz": 0.97, "table": 0.78, "label": 0.76, "mark": 0.86, "regex": 0.50}
@@ -18,29 +19,37 @@ def pattern_candidates(blocks: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, name, value, zone, seq, confidence): matches of regular expressions; of equal values the best stays.
 
     patterns is a small table (name, pattern) and is broadcast; the prior grows with the zone."""
-    m = blocks.join(F.broadcast(patterns)).select("doc_id", "name", "zone", "seq", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("value"))
+    m = blocks.join(registry_side(patterns)).select("doc_id", "name", "zone", "seq", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("value"))
     bonus = F.when(F.col("zone") == "title", 0.10).when(F.col("zone") == "heading", 0.06).when(F.col("zone") == "table", 0.04).otherwise(0.0)
     m = m.withColumn("confidence", F.round(F.least(F.lit(0.68), F.lit(PRIORS["regex"]) + bonus), 4))
     w = Window.partitionBy("doc_id", "name", "value").orderBy(F.col("confidence").desc(), "seq")
     return m.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def letter_runs(key: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a string; shorter ones whole."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - (n - 1), F.lit(1))), lambda i: F.substr(key, i, F.lit(n))))
+
+
 def pair_candidates(pairs: DataFrame, labels: DataFrame, least: float = 88.0) -> DataFrame:
-    """(doc_id, name, value, confidence) of key-value pairs whose key is a field's label: exact matches by a hash join,
-    the others by similarity with the broadcast labels (a small table: name, label)."""
-    key = F.trim(F.regexp_replace(T.fold(F.col("key")), r"[^\p{L}\p{N}]+", " "))
-    p = pairs.withColumn("_key", key)
-    l = F.broadcast(labels.select("name", F.trim(F.regexp_replace(T.fold(F.col("label")), r"[^\p{L}\p{N}]+", " ")).alias("_label")))
-    scored = p.join(l).withColumn("_s", F.when(F.col("_key") == F.col("_label"), 100.0).otherwise(T.similarity(F.col("_label"), F.col("_key")))).where(F.col("_s") >= least)
+    """(doc_id, name, value, confidence) of key-value pairs whose key is a field's label, or like one.
+
+    Keys meet the labels (a registry table, name and label) in a hash join on runs of three letters, of which alike strings
+    share one; the similarity is computed for the pairs that meet, once each, and not for those that are equal."""
+    key = lambda c: F.trim(F.regexp_replace(T.fold(F.col(c)), r"[^\p{L}\p{N}]+", " "))
+    p = pairs.select("doc_id", "value", "confidence", key("key").alias("_key")).where("_key != ''").withColumn("_row", F.monotonically_increasing_id())
+    l = labels.select("name", key("label").alias("_label")).where("_label != ''").distinct()
+    met = p.withColumn("_g", F.explode(letter_runs(F.col("_key")))).join(registry_side(l.withColumn("_g", F.explode(letter_runs(F.col("_label"))))), "_g").select("_row", "doc_id", "value", "confidence", "_key", "name", "_label").distinct()
+    same, other = met.where("_key = _label").withColumn("_s", F.lit(100.0)), met.where("_key != _label").withColumn("_s", T.similarity(F.col("_label"), F.col("_key")))
     trust = F.least(F.lit(0.97), PRIORS["kv"] * F.col("_s") / 100 * F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0)))))
-    return scored.select("doc_id", "name", F.col("value"), F.round(trust, 4).alias("confidence"))
+    return same.unionByName(other).where(F.col("_s") >= least).select("doc_id", "name", F.col("value"), F.round(trust, 4).alias("confidence"))
 
 
 def table_candidates(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, name, value, confidence): the cell below a header cell, or else right of it, whose text is a label.
 
     cells: (doc_id, table_id, row, col, row_span, col_span, text, is_header); spans are honoured."""
-    h = cells.join(F.broadcast(labels.select("name", T.fold(F.col("label")).alias("_l"))), T.fold(F.col("text")) == F.col("_l")).select("doc_id", "table_id", "name", F.col("row").alias("r"), F.col("col").alias("c"), F.col("row_span").alias("rs"), F.col("col_span").alias("cs"), "is_header")
+    h = cells.join(registry_side(labels.select("name", T.fold(F.col("label")).alias("_l"))), T.fold(F.col("text")) == F.col("_l")).select("doc_id", "table_id", "name", F.col("row").alias("r"), F.col("col").alias("c"), F.col("row_span").alias("rs"), F.col("col_span").alias("cs"), "is_header")
     j = h.join(cells.select("doc_id", "table_id", "row", "col", "row_span", "col_span", "text"), ["doc_id", "table_id"])
     below = (F.col("row") == F.col("r") + F.col("rs")) & (F.col("col") < F.col("c") + F.col("cs")) & (F.col("col") + F.col("col_span") > F.col("c"))
     right = (F.col("col") == F.col("c") + F.col("cs")) & (F.col("row") < F.col("r") + F.col("rs")) & (F.col("row") + F.col("row_span") > F.col("r"))
@@ -71,7 +80,7 @@ def outcome(fields: DataFrame, specs: DataFrame, settings: Settings = DEFAULTS)
 
     fields: (doc_id, doctype_id, name, value, confidence, validator_error), specs: (doctype_id, name, required)."""
     docs = fields.select("doc_id", "doctype_id").distinct()
-    every = docs.join(F.broadcast(specs), "doctype_id").join(fields.select("doc_id", "name", "value", "confidence", "validator_error"), ["doc_id", "name"], "left")
+    every = docs.join(registry_side(specs), "doctype_id").join(fields.select("doc_id", "name", "value", "confidence", "validator_error"), ["doc_id", "name"], "left")
     full = F.coalesce("value", F.lit("")) != ""
     doubt = full & ((F.col("confidence") < settings.accept_confidence) | (F.coalesce("validator_error", F.lit("")) != ""))
     g = every.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("required") & ~full, F.col("name")))), ",").alias("missing_required"), F.max(doubt).alias("_doubt"), F.round(F.avg(full.cast("double")), 4).alias("fill_rate"))

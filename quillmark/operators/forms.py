@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import validators as V
+from quillmark.tables import registry_side
 
 # fixed values: what a binding is worth, and how far it reaches in shares of the page
 SAME_LINE, RIGHT, BELOW, NEXT_LINE, DECAY, LABEL_CAP = 0.82, 0.76, 0.70, 0.62, 0.35, 0.95
@@ -124,7 +125,7 @@ def label_candidates(blocks: DataFrame, pages: DataFrame, labels: DataFrame) ->
     spoken = [r.label for r in labels.select("label").distinct().collect()]
     lab = labels.select("name", "type", "pattern", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.trim("label").alias("label"), label_key(F.col("label")).alias("_l"))
     b = blocks.where(F.trim("text") != "").withColumn("_k", label_key(F.col("text"))).withColumn("_caption", reads_as_caption(F.col("text"), listed))
-    hit = b.join(F.broadcast(lab), F.concat(F.lit(" "), "_k", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_l"), F.lit(" "))))
+    hit = b.join(registry_side(lab), F.concat(F.lit(" "), "_k", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_l"), F.lit(" "))))
     hit = hit.withColumn("_s", F.when(F.col("_k") == F.col("_l"), 100.0).otherwise(VERBATIM) * F.col("weight")).where(F.col("_s") >= LEAST_LABEL)
 
     # the rest of the line
@@ -188,7 +189,7 @@ def bound_marks(marks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFr
 def mark_candidates(marks: DataFrame, blocks: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, name, value, confidence, mark): check boxes whose option is a field's label, and the selected options near a
     heading that is one; several selected options share the blame."""
-    lab = F.broadcast(labels.select("name", "type", label_key(F.col("label")).alias("_l")))
+    lab = registry_side(labels.select("name", "type", label_key(F.col("label")).alias("_l")))
     m = bound_marks(marks, blocks, pages)
     own = m.where("option != ''").withColumn("_l", label_key(F.col("option"))).join(lab, "_l").where((F.col("type") == "bool") | F.col("selected"))
     own = own.select("doc_id", "name", F.when(F.col("type") == "bool", F.col("selected").cast("string")).otherwise(F.col("option")).alias("value"), F.lit(OPTION).alias("confidence"), "mark")

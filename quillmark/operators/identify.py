@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions import validators as V
 from quillmark.operators.anchors import framed
+from quillmark.tables import registry_side
 
 # fixed values: shapes worth a validator's look
 SHAPES = {
@@ -70,10 +71,10 @@ def evidence(docs: DataFrame, patterns: DataFrame, validators: DataFrame, labels
     accepts. A value is corroborated if a label of that validator is printed on its line or the line above. zones: doctypes
     (doctype_id) that declare a passport zone; an accepted zone corroborates itself."""
     d = docs.select("doc_id", F.split(F.upper("text"), "\n").alias("l")).select("doc_id", F.posexplode("l").alias("k", "line"), F.col("l")).select("doc_id", "k", "line", F.concat_ws("\n", F.get("l", F.col("k") - 1), "line").alias("window"))
-    found = d.join(F.broadcast(usable_patterns(patterns)), F.regexp(F.col("line"), F.col("pattern"))).select("doc_id", "doctype_id", "window", "k", F.posexplode(F.regexp_extract_all("line", F.col("pattern"), F.lit(0))).alias("j", "value"))
+    found = d.join(registry_side(usable_patterns(patterns)), F.regexp(F.col("line"), F.col("pattern"))).select("doc_id", "doctype_id", "window", "k", F.posexplode(F.regexp_extract_all("line", F.col("pattern"), F.lit(0))).alias("j", "value"))
     found = found.withColumn("value", F.trim("value")).where("value != ''")
     one = found.groupBy("doc_id", "doctype_id", "value").agg(F.min_by("window", F.struct("k", "j")).alias("window"))
-    j = one.join(F.broadcast(validators), "doctype_id", "left")
+    j = one.join(registry_side(validators), "doctype_id", "left")
     names = [r.validator for r in validators.select("validator").distinct().collect()]  # a registry's validators
     ok = F.lit(False)
     for n in names:
@@ -82,12 +83,12 @@ def evidence(docs: DataFrame, patterns: DataFrame, validators: DataFrame, labels
     graded = j.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("sum_", F.col("ok") & F.col("validator").isin(*V.CHECKSUM))
     best = graded.groupBy("doc_id", "doctype_id", "value", "window").agg(F.min_by(F.struct("validator", "ok", "sum_"), F.struct(~F.col("sum_"), ~F.col("ok"), F.coalesce("ord", F.lit(0)))).alias("b"))
     best = best.select("doc_id", "doctype_id", "value", "window", F.when(F.col("b.ok"), F.col("b.validator")).alias("validator"), F.col("b.sum_").alias("verified"), (F.col("b.ok") & ~F.col("b.sum_")).alias("format_ok"))
-    near = best.join(F.broadcast(labels.select("doctype_id", "validator", framed(T.skeleton(T.fold(F.col("label")))).alias("_l"))), ["doctype_id", "validator"], "left")
+    near = best.join(registry_side(labels.select("doctype_id", "validator", framed(T.skeleton(T.fold(F.col("label")))).alias("_l"))), ["doctype_id", "validator"], "left")
     hit = F.coalesce(framed(T.skeleton(T.fold(F.col("window")))).contains(F.col("_l")), F.lit(False))
     out = near.groupBy("doc_id", "doctype_id", "value", "validator", "verified", "format_ok").agg(F.max(hit).alias("corroborated"))
     if zones is None:
         return out
-    td3 = docs.select("doc_id", td3_zone(F.col("text")).alias("z")).where("z is not null").join(F.broadcast(zones.select("doctype_id")))  # one row a doctype that declares a zone
+    td3 = docs.select("doc_id", td3_zone(F.col("text")).alias("z")).where("z is not null").join(registry_side(zones.select("doctype_id")))  # one row a doctype that declares a zone
     td3 = td3.withColumn("_a", V.check("mrz_td3", F.col("z")))
     good = F.coalesce("_a.ok", F.lit(False))
     return out.unionByName(td3.select("doc_id", "doctype_id", F.replace(F.substring(F.split("z", "\n")[1], 1, 9), F.lit("<"), F.lit("")).alias("value"), F.when(good, "mrz_td3").alias("validator"), good.alias("verified"), F.lit(False).alias("format_ok"), F.lit(True).alias("corroborated")))
@@ -98,7 +99,7 @@ def muted_claims(zone_texts: DataFrame, anchors: DataFrame) -> DataFrame:
     They could not be heard, which is no evidence of absence."""
     a = anchors.where("decisive and zone is not null").select("doctype_id", "ord", F.col("zone").alias("pinned"), framed(T.skeleton(T.fold(F.col("text")))).alias("_a"))
     whole = zone_texts.where("skeleton != '  '").groupBy("doc_id").agg(F.collect_set("zone").alias("has"), F.array_join(F.collect_list("skeleton"), "|").alias("all"))
-    return whole.join(F.broadcast(a), F.col("all").contains(F.col("_a")) & ~F.array_contains("has", F.col("pinned"))).select("doc_id", "doctype_id", "ord")
+    return whole.join(registry_side(a), F.col("all").contains(F.col("_a")) & ~F.array_contains("has", F.col("pinned"))).select("doc_id", "doctype_id", "ord")
 
 
 def conclusive(hits: DataFrame, own: DataFrame, checks: DataFrame, peers: DataFrame) -> DataFrame:

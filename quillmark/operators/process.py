@@ -10,6 +10,7 @@ from quillmark.functions import validators as V
 from quillmark.operators import extract as X
 from quillmark.operators import forms
 from quillmark.settings import DEFAULTS, Settings
+from quillmark.tables import registry_side
 
 # fixed values: the order in which locators are asked, and that of verification levels
 LOCATORS = ("mrz", "kv", "mark", "table", "label", "regex")
@@ -29,7 +30,7 @@ def judged(candidates: DataFrame, specs: DataFrame) -> DataFrame:
     normalized, error, verification (0 to 2), accepted and score. quality is how sure the text layer is (1 if unknown).
 
     specs: (doctype_id, name, type, validator, multi), a registry table."""
-    c = candidates.join(F.broadcast(specs.select("doctype_id", "name", "type", "validator", "multi")), ["doctype_id", "name"])
+    c = candidates.join(registry_side(specs.select("doctype_id", "name", "type", "validator", "multi")), ["doctype_id", "name"])
     names = [r.validator for r in specs.where("validator is not null").select("validator").distinct().collect()]  # a registry's validators
     value = F.when(F.col("type") == "bool", F.coalesce(forms.as_bool(F.col("value")), F.lit(""))).otherwise(F.col("value"))
     answer, level = F.struct(F.lit(True).alias("ok"), F.col("value").alias("normalized"), F.lit("").alias("error")), F.lit("none")
@@ -59,7 +60,7 @@ def extract_fields(candidates: DataFrame, specs: DataFrame) -> DataFrame:
 
 def declared(classified: DataFrame, specs: DataFrame) -> DataFrame:
     """Every declared field of every document that was not abstained on: (doc_id, doctype_id, name, required, pii, ord)."""
-    return classified.where("not abstained").select("doc_id", "doctype_id").join(F.broadcast(specs), "doctype_id")
+    return classified.where("not abstained").select("doc_id", "doctype_id").join(registry_side(specs), "doctype_id")
 
 
 def with_fields(classified: DataFrame, specs: DataFrame, fields: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +49,19 @@ def spans(pages: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 def absorb(classified: DataFrame) -> DataFrame:
     """(doc_id, span, start_page, end_page, doctype_id) -> segments: an unidentified span joins the one it directly follows,
-    leading unidentified ones join the first that follows them directly, and equal neighbours merge. One document's spans are one group."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in g.sort_values("start_page").itertuples():
-            near = bool(out) and out[-1][1] + 1 == r.start_page
-            if near and (r.doctype_id == "unknown" or out[-1][2] in ("unknown", r.doctype_id)):
-                out[-1][1] = r.end_page
-                if out[-1][2] == "unknown":
-                    out[-1][2] = r.doctype_id
-            else:
-                out.append([r.start_page, r.end_page, r.doctype_id])
-        return pd.DataFrame([(g.doc_id.iloc[0], k + 1, *s) for k, s in enumerate(out)], columns=["doc_id", "segment", "start_page", "end_page", "doctype_id"])
-
-    return classified.groupBy("doc_id").applyInPandas(run, "doc_id long, segment int, start_page long, end_page long, doctype_id string")
+    leading unidentified ones join the first that follows them directly, and equal neighbours merge.
+
+    As windows over a document's spans: chains of spans without a gap, each unknown filled from the known one before it in
+    its chain, else from the first; then islands of equal types."""
+    w = Window.partitionBy("doc_id").orderBy("start_page")
+    chain = Window.partitionBy("doc_id", "_chain").orderBy("start_page")
+    known = F.when(F.col("doctype_id") != "unknown", F.col("doctype_id"))
+    c = classified.withColumn("_gap", F.coalesce(F.lag("end_page").over(w) + 1 != F.col("start_page"), F.lit(True))).withColumn("_chain", F.sum(F.col("_gap").cast("int")).over(w))
+    before = F.last(known, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(known, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    c = c.withColumn("_type", F.coalesce(before, after, F.lit("unknown")))
+    c = c.withColumn("_new", F.col("_gap") | (F.col("_type") != F.coalesce(F.lag("_type").over(w), F.lit("")))).withColumn("segment", F.sum(F.col("_new").cast("int")).over(w).cast("int"))
+    return c.groupBy("doc_id", "segment", F.col("_type").alias("doctype_id")).agg(F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page")).select("doc_id", "segment", "start_page", "end_page", "doctype_id")
 
 
 def page_slice(blocks: DataFrame, ranges: DataFrame) -> DataFrame:

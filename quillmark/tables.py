@@ -35,3 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/_quillmark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A registry table of at most this many rows is broadcast.
+REGISTRY_ROWS = 100_000
+
+
+def registry_side(df: DataFrame, most: int = REGISTRY_ROWS) -> DataFrame:
+    """df with a broadcast hint if its rows, counted up to the bound, are within it; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
