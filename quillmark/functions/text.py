@@ -41,6 +41,16 @@ def skeleton(folded: Column) -> Column:
     return F.translate(deaccent(folded), CONFUSED, CONFUSED_TO)
 
 
+_BOTH = str.maketrans(CONFUSED, CONFUSED_TO)
+_FROM = ACCENTED + "".join(c for c in CONFUSED if c not in ACCENTED)
+_TO = PLAIN.translate(_BOTH) + CONFUSED_TO
+
+
+def skeleton_tokens(text: Column) -> Column:
+    """tokens(skeleton(fold(text))) with one translation; white space needs no collapsing to be a gap."""
+    return tokens(F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), _FROM, _TO))
+
+
 def tokens(folded: Column) -> Column:
     """Runs of letters and digits; combining marks continue a token."""
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))

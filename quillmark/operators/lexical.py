@@ -28,7 +28,7 @@ def zone_weight(zone: Column, settings: Settings = DEFAULTS) -> Column:
 
 def block_tokens(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(doc_id, zone, weight, tokens): the skeleton tokens of each block."""
-    return blocks.select("doc_id", "zone", zone_weight(F.col("zone"), settings).alias("weight"), T.tokens(T.skeleton(T.fold(F.col("text")))).alias("tokens"))
+    return blocks.select("doc_id", "zone", zone_weight(F.col("zone"), settings).alias("weight"), T.skeleton_tokens(F.col("text")).alias("tokens"))
 
 
 def capitals(text: Column) -> Column:
@@ -49,7 +49,7 @@ def weighted_terms(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     """(doc_id, term, kind, x): what each block adds to its document's terms. kind 0 always counts, 1 if the document prints
     the term in capitals somewhere, and 2 says that it does. Each block is tokenised once; no row moves."""
     short = lambda w: F.length(w) <= settings.caps_length
-    b = blocks.select("doc_id", zone_weight(F.col("zone"), settings).alias("weight"), T.tokens(T.skeleton(T.fold(F.col("text")))).alias("w"), F.filter(capitals(F.col("text")), short).alias("caps"))
+    b = blocks.select("doc_id", zone_weight(F.col("zone"), settings).alias("weight"), T.skeleton_tokens(F.col("text")).alias("w"), F.filter(capitals(F.col("text")), short).alias("caps"))
     row = lambda term, kind, n: F.struct(term.alias("term"), kind.alias("kind"), n.alias("n"))
     one, none = F.lit(1), F.lit(0)
     every = F.concat(
@@ -81,7 +81,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     """(class, text) -> (class, term, n): skeleton unigrams of more than one character that aren't function words, and
     bigrams with at least one content word at 0.75."""
     stop = skeleton_stopwords()
-    t = labelled.select("class", T.tokens(T.skeleton(T.fold(F.col("text")))).alias("w"))
+    t = labelled.select("class", T.skeleton_tokens(F.col("text")).alias("w"))
     content = lambda w: ~w.isin(*stop)
     one = F.transform(F.filter("w", lambda w: (F.length(w) > 1) & content(w)), lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("n")))
     two = F.transform(F.filter(T.ngrams(F.col("w"), 2), lambda w: content(F.substring_index(w, " ", 1)) | content(F.substring_index(w, " ", -1))), lambda w: F.struct(w.alias("term"), F.lit(0.75).alias("n")))

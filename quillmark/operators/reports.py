@@ -33,7 +33,7 @@ def fitted_counts(labelled: DataFrame, declared: DataFrame | None = None) -> tup
     c = class_counts(labelled)
     if declared is not None:
         c = c.unionByName(declared_counts(declared)).groupBy("class", "term").agg(F.sum("n").alias("n"))
-    return c, labelled.agg(F.round(F.avg(F.size(T.tokens(T.skeleton(T.fold(F.col("text")))))), 4).alias("average_length"))
+    return c, labelled.agg(F.round(F.avg(F.size(T.skeleton_tokens(F.col("text")))), 4).alias("average_length"))
 
 
 def inferred_zones(lines: DataFrame) -> DataFrame:
