@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quillmark.llm._common import arrow_map, bound_batches, materialize
 
-RUN, MIN_WORDS = 2, 10
-LENGTHS = 16  # a run's place is LENGTHS * (its first sentence) + its number of sentences; each sentence has a word, so MIN_WORDS bounds that number
+RUN, MIN_WORDS = 2, 20
+LENGTHS = 32  # a run's place is LENGTHS * (its first sentence) + its number of sentences; each sentence has a word, so MIN_WORDS bounds that number
 _END = re.compile(r"[.!?。！？]*[。！？]|[.!?]+(?=[\s]|$)|\n")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -119,15 +119,16 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and blank texts stay as they are. Identical rows (same id and text) are one document: all get the same
     result. A null id comes first in the order. Runs that repeat inside one text count too. Every row is returned
-    once with all its columns (one named cut is replaced); an empty table stays empty.
+    once with all its columns (one named cut is replaced, others may have any names); an empty table stays empty. A text of
+    any length is cut whole, by one task; a run's commonest passage is spread by the join's split of skewed keys.
     """
     bound_batches(docs.sparkSession)
-    t = docs.withColumn("_tie", F.xxhash64(text_col))
-    runs = materialize(arrow_map(t.select(F.col(id_col).cast("long").alias("id"), "_tie", F.col(text_col).alias("text")).where(F.length("text") > 0), _runs, "h long, id long, tie long, place int"))
+    t = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_tie"))
+    runs = materialize(arrow_map(t.select(F.col("_id").alias("id"), "_tie", F.col("_text").alias("text")).where(F.length("text") > 0), _runs, "h long, id long, tie long, place int"))
     repeated = materialize(runs.groupBy("h").agg(F.min(F.struct("id", "tie", "place")).alias("first"), F.max(F.struct("id", "tie", "place")).alias("last")).where("first < last").select("h", "first"))
     # always by shuffle: the repeated runs and the texts that hold them grow with the corpus
     later = runs.join(repeated.hint("merge"), "h").where(F.struct("id", "tie", "place") != F.col("first")).groupBy("id", "tie").agg(F.collect_set("place").alias("_places"))
     later = materialize(later)
     cut = F.pandas_udf(_cut, "text string, n_sentences int, n_removed int, removed_words long, spans string")
-    joined = t.join(later.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
-    return joined.select(*[F.col(c) for c in docs.columns if c != "cut"], cut(F.col(text_col), F.col("_places")).alias("cut"))
+    joined = t.join(later.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "cut"], cut(F.col("_text"), F.col("_places")).alias("cut"))

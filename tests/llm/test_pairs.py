@@ -231,19 +231,69 @@ def test_embeddings_at_the_bound_with_clashing_columns(spark):
     assert {b[0]: b[2] for b in by}[4] == 4 and {b[0]: b[2] for b in by}[6] == 6 and {b[0]: b[2] for b in by}[2] in (1, 2) and (None, 0, None) in by
 
 
+def plain_sentences(t):
+    """Sentences by a walk over characters: cut after marks before white space or the end, after full-width marks, after line ends."""
+    out, start, i = [], 0, 0
+    while i < len(t):
+        end = None
+        if t[i] == "\n":
+            end = i + 1
+        elif t[i] in ".!?。！？":
+            j = i
+            while j < len(t) and t[j] in ".!?。！？":
+                j += 1
+            wide = [k for k in range(i, j) if t[k] in "。！？"]
+            if wide:
+                end = wide[-1] + 1
+            elif j == len(t) or t[j].isspace():
+                end = j
+            else:
+                i = j
+                continue
+        if end is None:
+            i += 1
+            continue
+        while end < len(t) and t[end].isspace():
+            end += 1
+        if t[start:end].strip():
+            out.append(t[start:end])
+            start = end
+        i = end
+    if t[start:].strip() or start < len(t) and not out:
+        out.append(t[start:])
+    elif start < len(t):
+        out[-1] += t[start:]
+    return out
+
+
 def brute_cut(rows):
-    first, out = {}, {}
-    runs = {(i, t): [(k, "\n".join(" ".join(t[a:b].lower().split()) for a, b in substring.sentences(t)[k : k + 2])) for k in range(len(substring.sentences(t)) - 1)] for i, t in rows}
-    for (i, t), found in sorted(runs.items(), key=lambda x: x[0][0]):
-        for k, run in found:
-            if len(run.split()) >= substring.MIN_WORDS:
-                first.setdefault(run, (i, k))
-    for (i, t), found in runs.items():
-        gone = {k + j for k, run in found if len(run.split()) >= substring.MIN_WORDS and first[run] != (i, k) for j in (0, 1)}
-        out[i] = "".join(t[a:b] for k, (a, b) in enumerate(substring.sentences(t)) if k not in gone) if gone else t
+    """By the rule itself: every shortest run from a start or back from an end, looked up by its words; later ones go."""
+    least, texts = substring.MIN_WORDS, {i: plain_sentences(t) for i, t in rows}
+    first, found = {}, {}
+    for i in sorted(texts):
+        s, size = texts[i], [len(x.split()) for x in texts[i]]
+        runs = set()
+        for a in range(len(s)):
+            for e in range(a + 2, len(s) + 1):
+                if sum(size[a:e]) >= least and (e - a == 2 or sum(size[a : e - 1]) < least or sum(size[a + 1 : e]) < least):
+                    runs.add((a, e))
+        found[i] = {(a, e): "\n".join(" ".join(x.lower().split()) for x in s[a:e]) for a, e in runs}
+        for at in sorted(found[i]):
+            first.setdefault(found[i][at], (i, at))
+    out = {}
+    for i, t in rows:
+        gone = {k for (a, e), words in found[i].items() if first[words] != (i, (a, e)) for k in range(a, e)}
+        out[i] = "".join(x for k, x in enumerate(texts[i]) if k not in gone) if gone else t
     return out
 
 
+def test_sentences_against_a_walk():
+    r = random.Random(14)
+    for _ in range(5000):
+        t = "".join(r.choice([*"ab .!?\n", "。", "！", "\t", " "]) for _ in range(r.randrange(16)))
+        assert [t[a:b] for a, b in substring.sentences(t)] == plain_sentences(t), repr(t)
+
+
 def test_substring_dedup_against_brute_force(spark):
     r = random.Random(8)
     pool = [" ".join(f"w{r.randrange(4000)}" for _ in range(r.randrange(1, 14))) + r.choice([".", "!", "?", ".\n"]) for _ in range(400)]
@@ -262,8 +312,13 @@ def test_substring_dedup_against_brute_force(spark):
 
 
 def test_substring_dedup_odd_rows(spark):
-    t = "This is the first sentence of some text here. And this is the second one of it. "
+    t = "This is the first sentence of some text here, and it goes on. And this is the second one of it, which ends now. "
     rows = [(1, t), (1, t), (2, t), (3, None), (4, ""), (5, "  "), (None, "short. x. y."), (6, t + t)]
+    clash = spark.createDataFrame([(*x, "a", "b", 1) for x in rows], "doc_id long, text string, id string, tie string, _text int")
+    assert substring.remove_repeated_spans(clash).columns == [*clash.columns, "cut"] and {(x.id, x.tie, x["_text"]) for x in substring.remove_repeated_spans(clash).collect()} == {("a", "b", 1)}
+    long = " ".join(f"Sentence {k} of a very long text has its own words x{k}." for k in range(4000))
+    kept = {x.doc_id: x.cut.text for x in substring.remove_repeated_spans(spark.createDataFrame([(1, long), (2, "Before. " + long)], "doc_id long, text string")).collect()}
+    assert kept == {1: long, 2: "Before. "}
     got = substring.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = {}
     for x in got:
