@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions import validators as V
 from quillmark.operators import anchors as A
-from quillmark.operators import evaluate, extract, layout, lexical, review, segments, verdict
+from quillmark.operators import evaluate, extract, identify, layout, lexical, review, segments, verdict
 from quillmark.plans import registry as R
 from quillmark.plans.oracles import ORACLES
 from quillmark.sources.ingest import html_blocks
@@ -109,10 +109,15 @@ def contested_claims(spark, sf_dir):
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document's class, or unknown and why."""
-    hits = _anchor_scores(spark, sf_dir).select("doc_id", "doctype_id", "bits", "score", F.col("coverage").alias("anchor_coverage"))
+    a, z = R.anchors(spark), _zones(spark, sf_dir)
+    found = written(A.anchor_hits(_blocks(spark, sf_dir), a, zones=z))
+    hits = A.anchor_scores(found, A.negative_hits(_blocks(spark, sf_dir), R.negatives(spark), z), a).select("doc_id", "doctype_id", "bits", "score", F.col("coverage").alias("anchor_coverage"))
+    muted = A.muted_peers(R.confusables(spark), identify.muted_claims(z, a))
+    none = local_rows(spark, [], "doc_id bigint, doctype_id string, verified boolean, corroborated boolean")  # prose has no identifiers
+    owner = identify.conclusive(found, A.uncontested(found, a), none, muted).withColumn("_owner", F.lit(True))
     lex = _scores(spark, sf_dir).select("doc_id", F.col("class").alias("doctype_id"), "explained", F.col("coverage").alias("lexical_coverage"))
-    s = lex.join(hits, ["doc_id", "doctype_id"], "left").na.fill(0.0, ["bits", "score", "anchor_coverage"]).withColumn("sole_owner", F.lit(False))
-    return verdict.decide(s)
+    s = lex.join(hits, ["doc_id", "doctype_id"], "left").join(owner, ["doc_id", "doctype_id"], "left")
+    return verdict.decide(s.na.fill(0.0, ["bits", "score", "anchor_coverage"]).withColumn("sole_owner", F.coalesce("_owner", F.lit(False))).drop("_owner"))
 
 
 def verdict_gates(spark, sf_dir):

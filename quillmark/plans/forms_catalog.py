@@ -376,7 +376,20 @@ def table_overlaps(spark, sf_dir):
     return ingest.layout_blocks(ingest.layout_payloads(n.select("doc_id", F.to_json(body).alias("payload")))).select("doc_id", F.col("seq").cast("long").alias("seq"), "zone")
 
 
-ALL = (identifier_sweep, validator_vectors, zone_fields, passport_zones, label_fields, mark_fields, extracted_fields, processed_documents, tier_ledger, tier_fields, query_names, vendor_fields, schema_latest, schema_changes, page_adequacy, input_channels, capped_views, envelope_blocks, inferred_zones, bundle_members, bundle_recall, exemplar_texts, retired_methods, declared_profiles, fitted_length, considered_types, evidence_trail, channel_leaders, muted_claims, conclusive_owners, identifier_evidence, context_blocks, merged_views, corpus_report, run_summary, json_responses, review_list, reading_order, calibrated_scores, page_types, table_overlaps)
+def registry_violations(spark, sf_dir):
+    types = local_rows(spark, [("a", "US", "tax"), ("b", None, "tax"), ("c", "CA", "identity")], "doctype_id string, country string, category string")
+    anchors = local_rows(spark, [("a", "Form 1"), ("a", "form 1"), ("b", "Form 2"), ("x", "Lost")], "doctype_id string, text string")
+    like = local_rows(spark, [("a", "b"), ("a", "z"), ("c", "c")], "doctype_id string, other_id string")
+    checks = local_rows(spark, [("a", "ssn"), ("y", "nope")], "doctype_id string, validator string")
+    return R.cross_violations(types, anchors, like, checks)
+
+
+def listed_types(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("doctype_id"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).alias("country"), F.when(F.col("n_nationkey") % 2 == 0, "tax").otherwise("other").alias("category"))
+    return R.listed(n, "r2", "tax").select("doctype_id")
+
+
+ALL = (registry_violations, listed_types, identifier_sweep, validator_vectors, zone_fields, passport_zones, label_fields, mark_fields, extracted_fields, processed_documents, tier_ledger, tier_fields, query_names, vendor_fields, schema_latest, schema_changes, page_adequacy, input_channels, capped_views, envelope_blocks, inferred_zones, bundle_members, bundle_recall, exemplar_texts, retired_methods, declared_profiles, fitted_length, considered_types, evidence_trail, channel_leaders, muted_claims, conclusive_owners, identifier_evidence, context_blocks, merged_views, corpus_report, run_summary, json_responses, review_list, reading_order, calibrated_scores, page_types, table_overlaps)
 
 
 def queries() -> dict:

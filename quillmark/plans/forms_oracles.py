@@ -60,6 +60,8 @@ _ZT = f"WITH {O.BLOCKS}, {O.CAPS}, {O.ANCHORS}"
 
 ORACLES = {
     "absorbed_segments": f"WITH {O._BUNDLE}, {O._BOUNDS}, s AS (SELECT b.doc_id, b.page, CASE WHEN x.page IS NOT NULL OR coalesce(lag(b.page) OVER w <> b.page - 1, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT doc_id, page FROM bundle) b LEFT JOIN (SELECT doc_id, page FROM bounds WHERE signal IS NOT NULL) x ON x.doc_id = b.doc_id AND x.page = b.page WINDOW w AS (PARTITION BY b.doc_id ORDER BY b.page)), t AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS span FROM s), sp AS (SELECT doc_id, min(page) AS a, max(page) AS z FROM t GROUP BY doc_id, span), k AS (SELECT *, CASE WHEN a % 2 = 1 THEN NULL ELSE 'report' END AS known, CASE WHEN coalesce(lag(z) OVER w + 1 <> a, true) THEN 1 ELSE 0 END AS gap FROM sp WINDOW w AS (PARTITION BY doc_id ORDER BY a)), c AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY a) AS chain FROM k), y AS (SELECT *, CASE WHEN count(known) OVER (PARTITION BY doc_id, chain) > 0 THEN 'report' ELSE 'unknown' END AS typ FROM c), n AS (SELECT *, CASE WHEN gap = 1 OR typ <> lag(typ) OVER (PARTITION BY doc_id ORDER BY a) THEN 1 ELSE 0 END AS fresh FROM y), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS seg FROM n) SELECT doc_id, seg::INT AS segment, min(a) AS start_page, max(z) AS end_page, typ AS doctype_id FROM g GROUP BY doc_id, seg, typ",
+    "registry_violations": rows("doctype_id problem detail", [("x", "unknown_doctype", "anchors"), ("y", "unknown_doctype", "validators"), ("a", "unknown_confusable", "z"), ("c", "confusable_with_itself", "c"), ("c", "no_anchor", ""), ("a", "anchor_twice", "f0rm 1"), ("y", "unknown_validator", "nope")], "VARCHAR VARCHAR VARCHAR"),
+    "listed_types": "SELECT n_name AS doctype_id FROM nation WHERE (n_regionkey <= 1 OR n_regionkey = 2) AND n_nationkey % 2 = 0",
     "identifier_sweep": SWEEP,
     "validator_vectors": rows("id validator ok normalized error", [(k, n, ok, norm, e) for k, ((n, _), (ok, norm, e)) in enumerate(zip(C.VECTORS, C.ANSWERS))], "INT VARCHAR BOOLEAN VARCHAR VARCHAR").replace("\\n", "\n"),
     "zone_fields": rows("doc_id kind name value verified confidence", _ZONE_ROWS, "INT VARCHAR VARCHAR VARCHAR BOOLEAN DOUBLE"),

@@ -112,7 +112,7 @@ ORACLES = {
     "negative_hits": f"{_ANC}, {NEGATIVES} SELECT doctype_id, count(*) AS n FROM neg GROUP BY doctype_id",
     "anchor_bits": f"{_ANC}, {NEGATIVES}, {SCORES} SELECT doc_id, doctype_id, bits, score::DOUBLE AS score, coverage FROM asc_",
     "contested_claims": f"{_ANC}, claims AS (SELECT {skeleton(fold('text'))} AS claim FROM anc WHERE decisive GROUP BY ALL HAVING count(DISTINCT doctype_id) > 1) SELECT h.doctype_id, count(*) AS n FROM hits h JOIN anc a ON a.doctype_id = h.doctype_id AND a.ord = h.ord WHERE h.decisive AND {skeleton(fold('a.text'))} NOT IN (SELECT claim FROM claims) GROUP BY h.doctype_id",
-    "verdict_gates": f"{_LEX}, {PROFILES}, {BM25}, {ANCHORS}, {NEGATIVES}, {SCORES}, s0 AS (SELECT b.doc_id, b.class AS id, coalesce(a.bits, 0) AS bits, coalesce(a.score, 0) AS score, b.explained AS ex, greatest(b.coverage, coalesce(a.coverage, 0)) AS cov FROM bm b LEFT JOIN asc_ a ON a.doc_id = b.doc_id AND a.doctype_id = b.class), s1 AS (SELECT *, round(greatest(bits, 0) - log2(greatest(1 - ex, 1e-6)), 6) AS b FROM s0), s2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, id) AS k FROM s1), s3 AS (SELECT c.doc_id, c.id AS candidate, CASE WHEN c.bits > 0 AND c.ex > 0 AND c.bits >= n.bits AND c.ex >= n.ex THEN 'concurrence' ELSE '' END AS route, round(CASE WHEN c.b - coalesce(n.b, 0) > 0 THEN 1 - pow(2.0, -(c.b - coalesce(n.b, 0))) ELSE 0 END, 6) AS margin, round(1 - (1 - c.score) * (1 - c.ex), 6) AS support, c.cov AS coverage FROM s2 c LEFT JOIN s2 n ON n.doc_id = c.doc_id AND n.k = 2 WHERE c.k = 1), s4 AS (SELECT *, array_to_string(list_filter([CASE WHEN route = '' THEN 'not identified' END, CASE WHEN margin < 0.04 THEN 'margin below 0.04' END, CASE WHEN support < 0.3 THEN 'support below 0.3' END, CASE WHEN coverage < 0.2 THEN 'coverage below 0.2' END], lambda x: x IS NOT NULL), '; ') AS reason FROM s3) SELECT s4.doc_id, CASE WHEN reason = '' THEN candidate ELSE 'unknown' END AS doctype_id, candidate, reason <> '' AS abstained, margin, support, coverage, route, reason, (SELECT string_agg(id, ',' ORDER BY k) FROM s2 WHERE s2.doc_id = s4.doc_id AND k BETWEEN 2 AND 4) AS runners_up FROM s4",
+    "verdict_gates": f"{_LEX}, {PROFILES}, {BM25}, {ANCHORS}, {NEGATIVES}, {SCORES}, claims AS (SELECT {skeleton(fold('text'))} AS claim FROM anc WHERE decisive GROUP BY ALL HAVING count(DISTINCT doctype_id) > 1), own AS (SELECT DISTINCT h.doc_id, h.doctype_id FROM hits h JOIN anc a ON a.doctype_id = h.doctype_id AND a.ord = h.ord WHERE h.decisive AND {skeleton(fold('a.text'))} NOT IN (SELECT claim FROM claims)), alone AS (SELECT doc_id, min(doctype_id) AS owner FROM own GROUP BY doc_id HAVING count(*) = 1), s0 AS (SELECT b.doc_id, b.class AS id, coalesce(a.bits, 0) AS bits, coalesce(a.score, 0) AS score, b.explained AS ex, greatest(b.coverage, coalesce(a.coverage, 0)) AS cov FROM bm b LEFT JOIN asc_ a ON a.doc_id = b.doc_id AND a.doctype_id = b.class), s1 AS (SELECT *, round(greatest(bits, 0) - log2(greatest(1 - ex, 1e-6)), 6) AS b FROM s0), s2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, id) AS k FROM s1), s3 AS (SELECT c.doc_id, c.id AS candidate, CASE WHEN c.bits > 0 AND c.ex > 0 AND c.bits >= n.bits AND c.ex >= n.ex THEN 'concurrence' WHEN o.owner = c.id THEN 'conclusive' ELSE '' END AS route, round(CASE WHEN c.b - coalesce(n.b, 0) > 0 THEN 1 - pow(2.0, -(c.b - coalesce(n.b, 0))) ELSE 0 END, 6) AS margin, round(1 - (1 - c.score) * (1 - c.ex), 6) AS support, c.cov AS coverage FROM s2 c LEFT JOIN s2 n ON n.doc_id = c.doc_id AND n.k = 2 LEFT JOIN alone o ON o.doc_id = c.doc_id WHERE c.k = 1), s4 AS (SELECT *, array_to_string(list_filter([CASE WHEN route = '' THEN 'not identified' END, CASE WHEN margin < 0.04 THEN 'margin below 0.04' END, CASE WHEN support < 0.3 THEN 'support below 0.3' END, CASE WHEN coverage < 0.2 THEN 'coverage below 0.2' END], lambda x: x IS NOT NULL), '; ') AS reason FROM s3) SELECT s4.doc_id, CASE WHEN reason = '' THEN candidate ELSE 'unknown' END AS doctype_id, candidate, reason <> '' AS abstained, margin, support, coverage, route, reason, (SELECT string_agg(id, ',' ORDER BY k) FROM s2 WHERE s2.doc_id = s4.doc_id AND k BETWEEN 2 AND 4) AS runners_up FROM s4",
     "luhn_sweep": f"WITH f AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9][0-9 -]{{11,22}}[0-9]')), '[^0-9]', '', 'g') AS digits FROM documents) SELECT doc_id, digits, {_LUHN.format(d='digits')} AS ok, count(*) AS n FROM f WHERE length(digits) BETWEEN 13 AND 19 GROUP BY ALL",
     "pattern_fields": f"WITH {BLOCKS} SELECT doc_id, name, value, 'body' AS zone, min(seq) AS seq, 0.5::DOUBLE AS confidence FROM (" + " UNION ALL ".join(f"SELECT doc_id, seq, {q(n)} AS name, unnest(regexp_extract_all(text, {q(p)})) AS value FROM blocks" for n, p in R.PATTERNS) + ") GROUP BY doc_id, name, value",
     "validated_numbers": f"WITH n AS (SELECT o_orderkey, lpad(((o_orderkey * 48271) % 1000000000)::VARCHAR, 9, '0') AS d FROM orders), e AS (SELECT o_orderkey, d, 'ssn' AS validator, CASE WHEN d BETWEEN '987654320' AND '987654329' THEN 'reserved_for_advertising:never_issued' WHEN substr(d, 1, 3) IN ('000', '666') OR d[1] = '9' THEN 'invalid_area:' || substr(d, 1, 3) WHEN substr(d, 4, 2) = '00' THEN 'invalid_group:00' WHEN substr(d, 6) = '0000' THEN 'invalid_serial:0000' END AS bad, substr(d, 1, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6) AS good, '' AS soft FROM n UNION ALL SELECT o_orderkey, d, 'ein', CASE WHEN substr(d, 1, 2) NOT IN ({', '.join(q(p) for p in EIN_PREFIXES)}) THEN 'invalid_irs_prefix:' || substr(d, 1, 2) END, substr(d, 1, 2) || '-' || substr(d, 3), '' FROM n UNION ALL SELECT o_orderkey, d, 'itin', CASE WHEN d[1] <> '9' THEN 'invalid_prefix:' || d[1] || '!=9' WHEN NOT (substr(d, 4, 2) BETWEEN '50' AND '65' OR substr(d, 4, 2) BETWEEN '70' AND '88' OR substr(d, 4, 2) BETWEEN '90' AND '92' OR substr(d, 4, 2) >= '94') THEN 'invalid_group:' || substr(d, 4, 2) WHEN substr(d, 6) = '0000' THEN 'invalid_serial:0000' END, substr(d, 1, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6), '' FROM n UNION ALL SELECT o_orderkey, d, 'sin_luhn', CASE WHEN NOT ({_LUHN.format(d='d')}) THEN 'luhn_check_failed' END, substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7), CASE WHEN d[1] IN ('0', '8') THEN 'unassigned_prefix:' || d[1] ELSE '' END FROM n) SELECT o_orderkey, validator, bad IS NULL AS ok, CASE WHEN bad IS NULL THEN good ELSE '' END AS normalized, coalesce(bad, soft) AS error FROM e",
