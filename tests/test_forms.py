@@ -184,3 +184,43 @@ def test_tables(spark, tmp_path):
 def test_channels(spark, policy, channel):
     p = spark.createDataFrame([(1, 1, "ab" * 60, 0.9)], "doc_id long, page int, text string, image_fraction double")
     assert intake.read_channel(intake.adequacy(p), policy, engine=True).first().channel == channel
+
+
+def test_engine_end_to_end(spark):
+    from quillmark.operators import lexical
+    from quillmark.plans import engine
+
+    invoice, letter = "INVOICE of goods delivered\nTotal amount due for goods\nInvoice total and tax", "Dear friend we write a letter\nWith kind regards and wishes from us"
+    labelled = spark.createDataFrame([("invoice", invoice), ("letter", letter)], "class string, text string")
+    registry = engine.Registry(
+        local_rows(spark, [("invoice", 0, "goods delivered", True, None), ("letter", 0, "kind regards", True, None)], "doctype_id string, ord int, text string, decisive boolean, zone string"),
+        local_rows(spark, [("letter", 0, "amount due")], "doctype_id string, ord int, text string"), local_rows(spark, [("invoice", "letter")], "doctype_id string, other_id string"),
+        lexical.log_odds_profiles(lexical.class_counts(labelled)), local_rows(spark, [("invoice", 0, "[0-9]{3} [0-9]{3} [0-9]{3}")], "doctype_id string, ord int, pattern string"), local_rows(spark, [("invoice", 0, "sin_luhn")], "doctype_id string, ord int, validator string"),
+        local_rows(spark, [("total", "Total", "number", None, 1.0)], "name string, label string, type string, pattern string, weight double"),
+        local_rows(spark, [("invoice", "total", "number", "amount", False, True, False, 0)], "doctype_id string, name string, type string, validator string, multi boolean, required boolean, pii boolean, spec_ord int"),
+    )
+    docs = spark.createDataFrame([(1, invoice + "\nTotal: 12.50"), (2, letter), (3, "nothing that anyone knows"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in engine.classify(docs, registry).collect()}
+    assert (got[1].doctype_id, got[2].doctype_id, got[3].doctype_id) == ("invoice", "letter", "unknown") and got[4].reason == got[5].reason == "no_text" and len(got) == 5
+    blocks = spark.createDataFrame([(1, 0, 1, "Total: 12.50", "body", None, None, None, None)], "doc_id long, seq int, page int, text string, zone string, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(1, 1, 1.0, 1.0)], "doc_id long, page int, width double, height double")
+    out = {r.doc_id: (r.status, r.missing_required, r.review) for r in engine.run(docs, blocks, pages, registry).collect()}
+    assert out[1] == ("complete", "", "") and out[2][0] in ("complete", "incomplete") and out[3] == ("abstained", "", "classification_abstained")
+    one = engine.compare(engine.classify(docs, registry), engine.classify(docs, registry)).groupBy("outcome").count().collect()
+    assert {r.outcome: r["count"] for r in one} == {"agree": 2, "both_abstained": 3}
+
+
+def test_segments_are_classified_again_when_they_grow(spark):
+    from quillmark.plans import engine
+
+    text = ["A one", "x", "B two", "y", "y", "A three"]
+    pages = spark.createDataFrame([(1, k + 1, 612.0 if k not in (1, 3) else 500.0, 792.0, True, 0.0, t) for k, t in enumerate(text)], "doc_id long, page long, width double, height double, text_adequate boolean, image_fraction double, text string")
+    seen = []
+
+    def by_first_letter(texts):
+        seen.append(texts.count())
+        return texts.select("doc_id", F.when(F.col("text").startswith("A"), "a").when(F.col("text").startswith("B"), "b").otherwise("unknown").alias("doctype_id"))
+
+    got = engine.segment(pages, local_rows(spark, [("three",)], "marker string"), by_first_letter)
+    assert sorted((r.start_page, r.end_page, r.doctype_id) for r in got.collect()) == [(1, 2, "a"), (3, 5, "b"), (6, 6, "a")]
+    assert len(seen) == 2 and seen[1] == 2
