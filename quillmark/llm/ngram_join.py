@@ -42,7 +42,7 @@ COUNTERS = 1 << 20  # hashed counters of shingles
 HOT_SHARE = 0.001  # a shingle in more documents than this share is frequent
 FINE_BELOW = 64  # sets below this size are indexed with one segment a shingle
 BLOCK = 512  # rows of a block when the members of a mixed group are compared
-SPREAD = 4096  # documents that one task compares with a block by whole sets
+SPREAD = 512  # documents that one task compares with a block by whole sets
 LN_MOST = 223_150  # a little above 10^6 ln(5 / 4); 5 / 4 is the largest ratio of the sizes of linked sets
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
