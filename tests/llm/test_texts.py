@@ -353,6 +353,16 @@ def test_mixing(spark):
     assert mixing.curriculum(df.limit(0)).collect() == []
 
 
+def test_mixing_with_clashing_columns_and_long_texts(spark):
+    rows = [(k, "w " * (k % 5 * 20), "ab"[k % 2]) for k in range(60)] + [(None, "w w", "a"), (None, "w w", "a"), (99, "w " * 40_000, "b"), (98, None, None)]
+    df = spark.createDataFrame([(*x, "own", 1.5, "p", 7) for x in rows], "doc_id long, text string, source string, size string, target double, part string, row int")
+    plain = {(x.doc_id, x.taken) for x in mixing.mix_documents(df.select("doc_id", "text", "source"), mixing.word_count(F.col("text"))).collect()}
+    assert {(x.doc_id, x.taken) for x in mixing.mix_documents(df, mixing.word_count(F.col("text"))).collect()} == plain
+    c = mixing.curriculum(df)
+    assert c.columns == df.columns and {(x["size"], x.target, x.part, x["row"]) for x in c.collect()} == {("own", 1.5, "p", 7)}
+    assert sum(len(WORD.findall(x.text)) for x in c.collect()) == sum(t for _, t in plain) + sum(t for i, t in plain if i is None) * (len([1 for x in rows if x[0] is None]) - len([1 for i, _ in plain if i is None]))
+
+
 def test_curriculum_follows_its_schedule():
     t = np.linspace(0, 1, 11)
     for a in mixing.RAMPS:
@@ -464,6 +474,15 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_toxicity_with_clashing_columns_and_ties(spark):
+    rows, labels = toxic_rows(random.Random(9), 200)
+    docs = spark.createDataFrame([(*x, 0.5, "t", True, 1) for x in [*rows, rows[0], rows[0]]], "doc_id long, text string, lang string, score double, threshold string, toxic boolean, held_out int")
+    odd = spark.createDataFrame([*labels, labels[0], (None, 1), (3, 7), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, odd)
+    assert sorted(got.columns) == sorted(docs.columns) and got.count() == 202
+    assert len({x.score for x in got.where("doc_id = 0").collect()}) == 1 and all(x.toxic == (x.score >= x.threshold) for x in got.collect())
+
+
 def test_thresholds():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.5)
     assert 0.3 < toxicity.best_threshold(np.array([0.5, 0.5, 0.3, 0.1]), np.array([1, 0, 0, 0])) < 0.5
