@@ -358,6 +358,8 @@ def settled(tried: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFram
     others, in blocks of BLOCK; the others are spread over salts."""
     of = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
     failed = materialize(tried.join(links, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("c_a != c_b").select("a", "b", "c_a", "c_b"))
+    if not failed.limit(1).count():
+        return failed.select("a", "b")
     # connected: components joined by tried pairs; a tried pair inside a component adds nothing
     spans = materialize(connected_components(failed.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))))
     members = materialize(comps.join(spans.select(F.col("node").alias("component"), F.col("component").alias("s")), "component").select("s", "component", "node"))
