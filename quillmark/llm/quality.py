@@ -24,23 +24,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = "' \\t\\n\\u000B\\f\\r'"
 
 
-def _words(text: str) -> str:
-    """SQL for the words of a text.
+def _words(text: str, change: str = "{}") -> str:
+    """SQL for the words of a text, changed before it is split (lower({}), say).
 
     The condition on the row number always holds. It keeps the optimizer from moving a filter below this step and
     so from splitting the text again for every element that a lambda looks at."""
-    t = f"btrim({text}, {_BLANKS})"
-    return f"if(monotonically_increasing_id() < 0 or {t} = '', array(), split({t}, r'{SPACE}'))"
+    return rf"if(monotonically_increasing_id() < 0 or not coalesce({text} rlike r'[^\x20\x09-\x0D]', false), array(), split(btrim({change.format(text)}, {_BLANKS}), r'{SPACE}'))"
 
 
 def words_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds _w, the words of the whole text."""
-    return docs.withColumn("_w", F.expr(_words(f"coalesce(`{text_col}`, '')")))
+    return docs.withColumn("_w", F.expr(_words(f"`{text_col}`")))
 
 
 def words_and_grams(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """Adds _g, the buckets of the lower-cased unigrams and bigrams of the whole text."""
-    d = docs.withColumn("_l", F.expr(_words(f"lower(coalesce(`{text_col}`, ''))")))
+    d = docs.withColumn("_l", F.expr(_words(f"`{text_col}`", "lower({})")))
     one, two = f"cast(pmod(xxhash64(x), {buckets}) as int)", f"cast(pmod(xxhash64(x, y), {buckets}) as int)"
     return d.withColumn("_g", F.expr(f"if(size(_l) = 0, array(), concat(transform(_l, x -> {one}), zip_with(slice(_l, 1, size(_l) - 1), slice(_l, 2, size(_l)), (x, y) -> {two})))")).drop("_l")
 
@@ -110,14 +109,15 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", l
     t = f"coalesce(`{text_col}`, '')"
     d = words_of(docs.drop(*[n for n in names if n != text_col]), text_col).withColumn("_key", F.xxhash64(text_col))
     d = d.withColumn("n_words", F.expr("cast(size(_w) as long)")).withColumn("word_chars", F.expr("cast(length(array_join(_w, '')) as long)"))
-    d = d.withColumn("n_symbols", F.expr(f"cast(length({t}) - length(regexp_replace({t}, r'[#*$%&|<>]', '')) as long)"))
+    d = d.withColumn("n_symbols", F.expr(f"cast(regexp_count({t}, r'[#*$%&|<>]') as long)"))
     d = d.withColumn("_lines", F.expr(rf"filter(split({t}, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')")).withColumn("n_dup_lines", F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)"))
     # three-word windows: hash in the high bits, place in the low ones; after sorting, equal windows are neighbours
     d = d.withColumn("_p", F.expr("length(bin(size(_w)))"))
     d = d.withColumn("_s", F.expr("if(size(_w) < 4, array(), sort_array(slice(transform(_w, (x, i) -> shiftleft(xxhash64(x, get(_w, i + 1), get(_w, i + 2)), _p) | i), 1, size(_w) - 2)))"))
-    same = lambda a, b: f"({a} is not null and {b} is not null and shiftrightunsigned({a}, _p) = shiftrightunsigned({b}, _p) and " + " and ".join(f"get(_w, cast({a} & (shiftleft(1L, _p) - 1) as int) + {k}) = get(_w, cast({b} & (shiftleft(1L, _p) - 1) as int) + {k})" for k in range(3)) + ")"
-    d = d.withColumn("_at", F.expr(f"sort_array(transform(filter(_s, (x, i) -> {same('x', 'if(i > 0, get(_s, i - 1), null)')} or {same('x', 'get(_s, i + 1)')}), x -> cast(x & (shiftleft(1L, _p) - 1) as int)))"))
+    same = "shiftrightunsigned(x, _p) = shiftrightunsigned(y, _p) and " + " and ".join(f"get(_w, cast(x & (shiftleft(1L, _p) - 1) as int) + {k}) = get(_w, cast(y & (shiftleft(1L, _p) - 1) as int) + {k})" for k in range(3))
+    d = d.withColumn("_e", F.expr(f"if(size(_s) < 2, array(), zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s) - 1), (x, y) -> {same}))"))  # each is equal to the next
+    d = d.withColumn("_at", F.expr("sort_array(transform(filter(_s, (x, i) -> coalesce(get(_e, i - 1), false) or coalesce(get(_e, i), false)), x -> cast(x & (shiftleft(1L, _p) - 1) as int)))"))
     d = d.withColumn("n_repeat_words", F.expr("aggregate(transform(_at, (x, i) -> least(3, coalesce(get(_at, i + 1) - x, 3))), 0L, (a, x) -> a + x)"))
     d = d.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    d = d.drop("_w", "_lines", "_p", "_s", "_at").join(ratios.hint("merge"), "_key", "left").withColumn("ratio", F.coalesce("_ratio", F.lit(0.0)))
+    d = d.drop("_w", "_lines", "_p", "_s", "_e", "_at").join(ratios.hint("merge"), "_key", "left").withColumn("ratio", F.coalesce("_ratio", F.lit(0.0)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least)).drop("_key", "_ratio")
