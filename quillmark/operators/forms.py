@@ -1,7 +1,7 @@
 """Values on forms: next to labels, under headings of check boxes, and in machine-readable zones.
 
-Blocks, marks and labels meet in equi-joins by document and page (a page is small), with the geometry as a
-further condition; labels are a registry table. Rectangles are x0, y0, x1, y1 in the page's unit.
+Blocks and marks of a page are gathered once (a page is small) and meet there, by the geometry; labels are a registry
+table. Nothing that grows with the documents is broadcast. Rectangles are x0, y0, x1, y1 in the page's unit.
 """
 
 from __future__ import annotations
@@ -35,21 +35,36 @@ def label_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(T.fold(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def share(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
+def let(x: Column, f) -> Column:
+    """f of x, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def side(rect: str | Column, k: str) -> Column:
+    """x0, y0, x1 or y1 of a rectangle: a struct, or the prefix of four columns."""
+    return F.col(f"{rect}_{k}") if isinstance(rect, str) else rect[k]
+
+
+def share(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
     """Overlap of two stretches as a share of the shorter one."""
-    both = F.greatest(F.lit(0.0), F.least(F.col(high_a), F.col(high_b)) - F.greatest(F.col(low_a), F.col(low_b)))
-    return F.least(F.lit(1.0), both / F.greatest(F.least(F.col(high_a) - F.col(low_a), F.col(high_b) - F.col(low_b)), F.lit(1e-9)))
+    both = F.greatest(F.lit(0.0), F.least(high_a, high_b) - F.greatest(low_a, low_b))
+    return F.least(F.lit(1.0), both / F.greatest(F.least(high_a - low_a, high_b - low_b), F.lit(1e-9)))
+
 
+def right_of(a: str | Column, b: str | Column, reach: Column, least: float = 0.3) -> tuple[Column, Column]:
+    """(whether rectangle b stands right of a on its line, the gap)."""
+    gap = side(b, "x0") - side(a, "x1")
+    return (gap >= -0.25 * (side(a, "x1") - side(a, "x0"))) & (gap <= reach) & (share(side(a, "y0"), side(a, "y1"), side(b, "y0"), side(b, "y1")) >= least), F.greatest(gap, F.lit(0.0))
 
-def right_of(a: str, b: str, reach: Column, least: float = 0.3) -> tuple[Column, Column]:
-    """(whether rectangle b stands right of a on its line, the gap). Columns are a_x0 and so on."""
-    gap = F.col(f"{b}_x0") - F.col(f"{a}_x1")
-    return (gap >= -0.25 * (F.col(f"{a}_x1") - F.col(f"{a}_x0"))) & (gap <= reach) & (share(f"{a}_y0", f"{a}_y1", f"{b}_y0", f"{b}_y1") >= least), F.greatest(gap, F.lit(0.0))
 
+def below(a: str | Column, b: str | Column, reach: Column, least: float = 0.15) -> tuple[Column, Column]:
+    gap = side(b, "y0") - side(a, "y1")
+    return (gap >= -0.25 * (side(a, "y1") - side(a, "y0"))) & (gap <= reach) & (share(side(a, "x0"), side(a, "x1"), side(b, "x0"), side(b, "x1")) >= least), F.greatest(gap, F.lit(0.0))
 
-def below(a: str, b: str, reach: Column, least: float = 0.15) -> tuple[Column, Column]:
-    gap = F.col(f"{b}_y0") - F.col(f"{a}_y1")
-    return (gap >= -0.25 * (F.col(f"{a}_y1") - F.col(f"{a}_y0"))) & (gap <= reach) & (share(f"{a}_x0", f"{a}_x1", f"{b}_x0", f"{b}_x1") >= least), F.greatest(gap, F.lit(0.0))
+
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, width, height), each page once. As many rows as documents have pages: never a side to broadcast."""
+    return pages.groupBy("doc_id", "page").agg(F.max(F.struct("width", "height")).alias("_p")).select("doc_id", "page", "_p.width", "_p.height").hint("merge")
 
 
 def named(df: DataFrame, prefix: str, *more: str) -> DataFrame:
@@ -102,14 +117,33 @@ def reads_as_caption(text: Column, captions: list[str]) -> Column:
     return label_key(text).isin(*[c for c in captions]) | F.coalesce(F.trim(text).rlike(r"[:：]$"), F.lit(False))
 
 
-def _trimmed(rows: DataFrame, captions: list[str]) -> DataFrame:
-    """value -> trimmed value and its penalty; what is left must be a value."""
-    v = T.clean_value(F.col("value"))
-    r = rows.withColumn("_v", v).withColumn("_c", T.clean_value(captions_cut(F.col("_v"), captions))).withColumn("_t", tightened(F.col("_c"), F.col("type")))
-    r = r.withColumn("confidence", F.round(F.least(F.lit(LABEL_CAP), F.col("confidence") * F.when(F.col("_c") != F.col("_v"), CUT).otherwise(1.0) * F.when(F.col("_t") != F.col("_c"), TIGHTENED).otherwise(1.0)), 4)).withColumn("value", F.col("_t"))
-    ok = (F.col("value") != "") & T.has_substance(F.col("value")) & ~reads_as_caption(F.col("value"), captions) & has_shape(F.col("value"), F.col("type")) & ~ends_open(F.col("value"))
-    pattern = F.when(F.col("pattern").isNull(), F.lit(True)).otherwise(F.regexp(F.col("value"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
-    return r.where(ok & pattern).drop("_v", "_c", "_t")
+def trimmed(value: Column, kind: Column, pattern: Column, confidence: Column, captions: list[str]) -> Column:
+    """struct(value, confidence): the trimmed value and what trimming leaves of its confidence; null if what is left is no value."""
+
+    def judged(v: Column, c: Column, t: Column) -> Column:
+        trust = F.round(F.least(F.lit(LABEL_CAP), confidence * F.when(c != v, CUT).otherwise(1.0) * F.when(t != c, TIGHTENED).otherwise(1.0)), 4)
+        ok = (t != "") & T.has_substance(t) & ~reads_as_caption(t, captions) & has_shape(t, kind) & ~ends_open(t)
+        fits = F.when(pattern.isNull(), F.lit(True)).otherwise(F.regexp(t, F.concat(F.lit("^(?:"), pattern, F.lit(")$"))))
+        return F.when(ok & fits, F.struct(t.alias("value"), trust.alias("confidence")))
+
+    return let(T.clean_value(value), lambda v: let(T.clean_value(captions_cut(v, captions)), lambda c: let(tightened(c, kind), lambda t: judged(v, c, t))))
+
+
+def line_value(caption: Column) -> Column:
+    """What follows a block's label on its line (columns text and label), if the line uses it as a caption; else null."""
+
+    def rest(before: Column, after: Column) -> Column:
+        closed = after.rlike(r"^[\s.\-–—]*[:：]")
+        opens = before.rlike(r"^\s*(?:[(\[]?[0-9ivxIVX]{1,4}[).\]]?|[-•▪*–—])?\s*$")
+        first = F.lower(F.regexp_extract(after, r"(?U)^[ \t]*([^\W\d_][\w'’-]*)", 1))
+        last = F.lower(F.regexp_extract(before, r"(?U)([^\W\d_][\w'’-]*)\s*$", 1))
+        running = ~closed & (after.rlike(r"^\s*[,;]") | first.isin(*CONNECTORS) | last.isin(*CONNECTORS))
+        used = (~caption | closed) & (closed | after.rlike(r"^(?:\t|  )") | (after == "") | opens) & ~running
+        return F.when(used, F.regexp_replace(F.regexp_replace(after, r"^[\s:.\-–—]*[(\[][^)\]]*[)\]]", ""), r"^[\s:：.\-–—]+", ""))
+
+    at = F.expr("locate(lower(label), lower(text))")
+    before, after = F.expr("substring(text, 1, locate(lower(label), lower(text)) - 1)"), F.expr("substring(text, locate(lower(label), lower(text)) + length(label))")
+    return F.when(at > 0, let(before, lambda x: let(after, lambda y: rest(x, y))))
 
 
 def label_candidates(blocks: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,60 +154,74 @@ def label_candidates(blocks: DataFrame, pages: DataFrame, labels: DataFrame) ->
     line, if the line uses it as a caption: it opens the line, or a colon or a wide gap closes it, and no joining word
     goes on with its phrase. Else a block that is the label binds the nearest block right of it and the nearest below (for
     addresses with the lines under that one), and without geometry the next line, for verbatim labels of values with a
-    shape. Other captions are never values."""
+    shape. Other captions are never values.
+
+    Blocks meet the labels where they stand, and are then gathered by page, in one shuffle; all else happens inside a page."""
     listed = [r.k for r in labels.select(label_key(F.col("label")).alias("k")).distinct().collect()]  # a registry's labels
     spoken = [r.label for r in labels.select("label").distinct().collect()]
-    lab = labels.select("name", "type", "pattern", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.trim("label").alias("label"), label_key(F.col("label")).alias("_l"))
-    b = blocks.where(F.trim("text") != "").withColumn("_k", label_key(F.col("text"))).withColumn("_caption", reads_as_caption(F.col("text"), listed))
-    hit = b.join(registry_side(lab), F.concat(F.lit(" "), "_k", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_l"), F.lit(" "))))
-    hit = hit.withColumn("_s", F.when(F.col("_k") == F.col("_l"), 100.0).otherwise(VERBATIM) * F.col("weight")).where(F.col("_s") >= LEAST_LABEL)
-
-    # the rest of the line
-    at = F.expr("locate(lower(label), lower(text))")
-    before, after = F.expr("substring(text, 1, locate(lower(label), lower(text)) - 1)"), F.expr("substring(text, locate(lower(label), lower(text)) + length(label))")
-    closed = after.rlike(r"^[\s.\-–—]*[:：]")
-    opens = before.rlike(r"^\s*(?:[(\[]?[0-9ivxIVX]{1,4}[).\]]?|[-•▪*–—])?\s*$")
-    caption = closed | after.rlike(r"^(?:\t|  )") | (after == "") | opens
-    first = F.lower(F.regexp_extract(after, r"(?U)^[ \t]*([^\W\d_][\w'’-]*)", 1))
-    last = F.lower(F.regexp_extract(before, r"(?U)([^\W\d_][\w'’-]*)\s*$", 1))
-    running = ~closed & (after.rlike(r"^\s*[,;]") | first.isin(*CONNECTORS) | last.isin(*CONNECTORS))
-    tail = F.regexp_replace(F.regexp_replace(after, r"^[\s:.\-–—]*[(\[][^)\]]*[)\]]", ""), r"^[\s:：.\-–—]+", "")
-    line = hit.where((at > 0) & ~F.col("_caption") | (at > 0) & closed).where(caption & ~running)
-    line = line.select("doc_id", "page", "seq", "name", "type", "pattern", tail.alias("value"), (SAME_LINE * F.col("_s") / 100).alias("confidence"), F.lit("same line").alias("how"))
-    line = _trimmed(line, spoken)
-
-    # blocks next to a block that is the label
-    lone = hit.join(line.select("doc_id", "seq", "name").distinct(), ["doc_id", "seq", "name"], "left_anti").withColumn("_best", F.row_number().over(Window.partitionBy("doc_id", "seq", "name").orderBy(F.col("_s").desc(), "_l"))).where("_best = 1")
-    a = lone.where("x0 is not null").select("doc_id", "page", "name", "type", "pattern", "_s", F.col("seq").alias("a_seq"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    values = b.where(~F.col("_caption") & F.col("x0").isNotNull())
-    j = a.join(named(values, "b", "seq", "text"), ["doc_id", "page"]).join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"]).where("a_seq != b_seq")
+    framed = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    lab = labels.select("name", "type", "pattern", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.trim("label").alias("label"), label_key(F.col("label")).alias("_l")).withColumn("_lf", framed(F.col("_l")))
+    b = blocks.where(F.trim("text") != "").select("doc_id", "page", "seq", "text", "zone", "x0", "y0", "x1", "y1", framed(label_key(F.col("text"))).alias("_kf"), reads_as_caption(F.col("text"), listed).alias("_caption"))
+    s = F.when(F.col("_kf") == F.col("_lf"), 100.0).otherwise(VERBATIM) * F.col("weight")
+    met = b.join(registry_side(lab), F.col("_kf").contains(F.col("_lf")) & (s >= LEAST_LABEL), "left").withColumn("_s", s)
+    on_line = trimmed(line_value(F.col("_caption")), F.col("type"), F.col("pattern"), SAME_LINE * F.col("_s") / 100, spoken)
+    # a block stands here once for each label that it carries, or once
+    entry = F.struct("seq", "text", "zone", "x0", "y0", "x1", "y1", "_caption", "name", "type", "pattern", "weight", "_l", "_s", F.when(F.col("name").isNotNull(), on_line).alias("_line"))
+    page = met.groupBy("doc_id", "page").agg(F.collect_list(entry).alias("_all")).join(page_sizes(pages), ["doc_id", "page"], "left")
     x, y = LABEL_X * F.col("width"), LABEL_Y * F.col("height")
-    (is_right, right_gap), (is_below, below_gap) = right_of("a", "b", x), below("a", "b", y)
-    key = ["doc_id", "page", "a_seq", "name"]
-
-    def nearest(which: Column, gap: Column, reach: Column, base: float, how: str) -> DataFrame:
-        near = j.where(which).withColumn("_gap", gap).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_gap", "b_seq"))).where("_n = 1")
-        trust = base * F.col("_s") / 100 * (1 - DECAY * F.least(F.lit(1.0), F.col("_gap") / F.greatest(reach, F.lit(1e-9))))
-        return near.select(*key, "type", "pattern", "b_seq", F.col("b_text").alias("value"), trust.alias("confidence"), F.lit(how).alias("how"), *[f"b_{c}" for c in ("x0", "y0", "x1", "y1")], "height")
-
-    right, under = nearest(is_right, right_gap, x, RIGHT, "right"), nearest(is_below, below_gap, y, BELOW, "below")
-    # an address goes on in the lines right under its first one
-    many = under.where(F.col("type").isin(*MULTILINE))
-    more = many.join(named(values, "c", "seq", "text"), ["doc_id", "page"]).where((F.col("c_y0") >= F.col("b_y1") - 0.25 * (F.col("b_y1") - F.col("b_y0"))) & (share("b_x0", "b_x1", "c_x0", "c_x1") >= 0.15))
-    step = Window.partitionBy(*key).orderBy("c_y0", "c_seq")
-    more = more.withColumn("_top", F.lag("c_y1", 1).over(step)).withColumn("_break", (F.col("c_y0") - F.coalesce("_top", "b_y1") > 0.5 * LABEL_Y * F.col("height")).cast("int"))
-    more = more.withColumn("_stop", F.sum("_break").over(step)).where("_stop = 0").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_y0", "c_seq", "c_text"))), lambda r: r["c_text"]), "\n").alias("_rest"))
-    under = under.join(more, key, "left").withColumn("value", F.when(F.col("_rest").isNull(), F.col("value")).otherwise(F.concat_ws("\n", "value", "_rest")))
-
-    # reading order, where nobody measured the page
-    after_it = Window.partitionBy("doc_id", "page").orderBy("seq")
-    read = b.withColumn("_next", F.lead(F.struct("text", "_caption", "zone")).over(after_it)).select("doc_id", "seq", "_next")
-    bare = lone.where((F.col("x0").isNull()) & F.col("_caption") & (F.col("_s") >= VERBATIM * F.col("weight")) & F.col("type").isin(*TYPE_SHAPE)).join(read, ["doc_id", "seq"])
-    bare = bare.where(~F.col("_next._caption") & (F.col("_next.zone") != "furniture") & ~F.col("_next.text").rlike(r"^\s*[(\[]?[0-9ivxIVX]{1,4}[).\]]?\s*$"))
-    bare = bare.select("doc_id", "page", "seq", "name", "type", "pattern", F.col("_next.text").alias("value"), (NEXT_LINE * F.col("_s") / 100).alias("confidence"), F.lit("next line").alias("how"))
-    flat = lambda d: d.select("doc_id", "page", F.col("a_seq").alias("seq"), "name", "type", "pattern", "value", "confidence", "how")
-    out = line.unionByName(_trimmed(flat(right).unionByName(flat(under)).unionByName(bare), spoken))
-    return out.select("doc_id", "name", "value", "confidence", "how", "page", "seq")
+
+    def found(h: Column, value: Column, confidence: Column, how: str) -> Column:
+        return F.struct(h["seq"].alias("seq"), h["name"].alias("name"), h["type"].alias("type"), h["pattern"].alias("pattern"), value.alias("value"), confidence.alias("confidence"), F.lit(how).alias("how"))
+
+    def nearest(h: Column, values: Column, beside, reach: Column) -> Column:
+        """The value with the smallest gap."""
+        near = F.filter(values, lambda v: (v["seq"] != h["seq"]) & beside(h, v, reach)[0])
+        return F.array_min(F.transform(near, lambda v: F.struct(beside(h, v, reach)[1].alias("gap"), *[v[c].alias(c) for c in ("seq", "text", "x0", "y0", "x1", "y1")])))
+
+    def bound(h: Column, v: Column, reach: Column, base: float, how: str, value: Column) -> Column:
+        trust = base * h["_s"] / 100 * (1 - DECAY * F.least(F.lit(1.0), v["gap"] / F.greatest(reach, F.lit(1e-9))))
+        return F.when(v.isNotNull(), found(h, value, trust, how))
+
+    def lines(v: Column, values: Column) -> Column:
+        """A block's text and the lines right under it, up to a gap."""
+        under = F.filter(values, lambda c: (c["y0"] >= v["y1"] - 0.25 * (v["y1"] - v["y0"])) & (share(v["x0"], v["x1"], c["x0"], c["x1"]) >= 0.15))
+        rows = F.array_sort(F.transform(under, lambda c: F.struct(c["y0"].alias("y0"), c["seq"].alias("seq"), c["text"].alias("text"), c["y1"].alias("y1"))))
+
+        def joined(r: Column) -> Column:
+            breaks = F.transform(r, lambda c, k: c["y0"] - F.when(k > 0, F.get(r, k - 1)["y1"]).otherwise(v["y1"]) > 0.5 * y)
+            first = F.coalesce(F.array_position(breaks, F.lit(True)), F.lit(0)).cast("int")
+            kept = F.slice(r, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(r)))
+            return F.array_join(F.concat(F.array(v["text"]), F.transform(kept, lambda c: c["text"])), "\n")
+
+        return let(rows, joined)
+
+    def next_line(h: Column) -> Column:
+        """The next block of a page that nobody measured, in reading order."""
+        after = F.array_min(F.transform(F.filter("_all", lambda v: v["seq"] > h["seq"]), lambda v: F.struct(v["seq"].alias("seq"), v["text"].alias("text"), v["_caption"].alias("_caption"), v["zone"].alias("zone"))))
+        plain = lambda n: ~n["_caption"] & (n["zone"] != "furniture") & ~n["text"].rlike(r"^\s*[(\[]?[0-9ivxIVX]{1,4}[).\]]?\s*$")
+        return let(after, lambda n: F.when(plain(n), found(h, n["text"], NEXT_LINE * h["_s"] / 100, "next line")))
+
+    def beside(h: Column, values: Column) -> Column:
+        right = let(nearest(h, values, right_of, x), lambda v: bound(h, v, x, RIGHT, "right", v["text"]))
+        under = let(nearest(h, values, below, y), lambda v: bound(h, v, y, BELOW, "below", F.when(h["type"].isin(*MULTILINE), lines(v, values)).otherwise(v["text"])))
+        verbatim = h["_caption"] & (h["_s"] >= VERBATIM * h["weight"]) & h["type"].isin(*TYPE_SHAPE)
+        return F.when(h["x0"].isNotNull(), F.array(right, under)).when(verbatim, F.array(next_line(h)))
+
+    def lone(h: Column, hits: Column) -> Column:
+        """Whether a block's line binds nothing to a field, and this is the best of the field's labels that it carries."""
+        rank = lambda g: F.struct((-g["_s"]).alias("s"), g["_l"].alias("l"), g["type"].alias("t"), g["pattern"].alias("p"))
+        return ~F.exists(hits, lambda g: (g["seq"] == h["seq"]) & (g["name"] == h["name"]) & (g["_line"].isNotNull() | (rank(g) < rank(h))))
+
+    def places(hits: Column) -> Column:
+        own = F.transform(F.filter(hits, lambda h: h["_line"].isNotNull()), lambda h: F.struct(h.alias("h"), found(h, h["_line"]["value"], h["_line"]["confidence"], "same line").alias("c")))
+        values = F.array_distinct(F.transform(F.filter("_all", lambda v: ~v["_caption"] & v["x0"].isNotNull()), lambda v: F.struct(*[v[c].alias(c) for c in ("seq", "text", "x0", "y0", "x1", "y1")])))
+        rest = let(values, lambda vs: F.flatten(F.transform(F.array_distinct(F.filter(hits, lambda h: lone(h, hits))), lambda h: F.coalesce(F.filter(beside(h, vs), lambda c: c.isNotNull()), F.array()))))
+        return F.concat(F.transform(own, lambda o: o["c"]), rest)
+
+    c = page.select("doc_id", "page", F.explode(let(F.filter("_all", lambda v: v["name"].isNotNull()), places)).alias("c")).select("doc_id", "page", "c.*")
+    kept = F.when(F.col("how") == "same line", F.struct("value", "confidence")).otherwise(trimmed(F.col("value"), F.col("type"), F.col("pattern"), F.col("confidence"), spoken))
+    out = c.select("doc_id", "name", F.explode(F.filter(F.array(kept), lambda v: v.isNotNull())).alias("v"), "how", "page", "seq")
+    return out.select("doc_id", "name", "v.value", "v.confidence", "how", "page", "seq")
 
 
 def bound_marks(marks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
