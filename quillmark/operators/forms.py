@@ -226,12 +226,18 @@ def label_candidates(blocks: DataFrame, pages: DataFrame, labels: DataFrame) ->
 
 def bound_marks(marks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """marks (doc_id, mark, page, selected, x0..y1) with option: the text right of the mark, else left of it, else below."""
-    j = named(marks, "m", "mark", "selected").join(named(blocks.where(F.trim("text") != ""), "b", "seq", "text"), ["doc_id", "page"]).join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
+    rect = ("x0", "y0", "x1", "y1")
+    near = blocks.where(F.trim("text") != "").groupBy("doc_id", "page").agg(F.collect_list(F.struct("seq", "text", *rect)).alias("_blocks")).join(page_sizes(pages), ["doc_id", "page"])
     x, y = OPTION_X * F.col("width"), OPTION_Y * F.col("height")
-    (after, g1), (left, g2), (under, g3) = right_of("m", "b", x, 0.25), right_of("b", "m", x, 0.25), below("m", "b", y, 0.3)
-    cost = F.when(after, g1).when(left, g2 + 0.5 * x).when(under, g3 + x)
-    best = j.withColumn("_c", cost).where("_c is not null").groupBy("doc_id", F.col("m_mark").alias("mark")).agg(F.min_by("b_text", F.struct("_c", "b_seq")).alias("option"))
-    return marks.join(best, ["doc_id", "mark"], "left").withColumn("option", T.clean_value(F.coalesce("option", F.lit(""))))
+
+    def cost(m: Column, b: Column) -> Column:
+        (after, g1), (left, g2), (under, g3) = right_of(m, b, x, 0.25), right_of(b, m, x, 0.25), below(m, b, y, 0.3)
+        return F.when(after, g1).when(left, g2 + 0.5 * x).when(under, g3 + x)
+
+    reached = lambda m: F.filter(F.transform("_blocks", lambda b: F.struct(cost(m, b).alias("c"), b["seq"].alias("seq"), b["text"].alias("text"))), lambda r: r["c"].isNotNull())
+    best = F.array_min(let(F.struct(*rect), reached))["text"]
+    j = marks.join(near.hint("merge"), ["doc_id", "page"], "left").withColumn("option", T.clean_value(F.coalesce(best, F.lit(""))))
+    return j.select(*marks.columns, "option")
 
 
 def mark_candidates(marks: DataFrame, blocks: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,10 +248,10 @@ def mark_candidates(marks: DataFrame, blocks: DataFrame, pages: DataFrame, label
     own = m.where("option != ''").withColumn("_l", label_key(F.col("option"))).join(lab, "_l").where((F.col("type") == "bool") | F.col("selected"))
     own = own.select("doc_id", "name", F.when(F.col("type") == "bool", F.col("selected").cast("string")).otherwise(F.col("option")).alias("value"), F.lit(OPTION).alias("confidence"), "mark")
     heads = blocks.where("x0 is not null").withColumn("_l", label_key(F.col("text"))).join(lab, "_l")
-    j = named(heads, "h", "name", "type", "seq").join(named(m.where("selected and option != ''"), "m", "mark", "option"), ["doc_id", "page"]).join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
+    j = named(heads, "h", "name", "type", "seq").join(named(m.where("selected and option != ''"), "m", "mark", "option").hint("merge"), ["doc_id", "page"]).join(page_sizes(pages), ["doc_id", "page"])
     under, _ = below("h", "m", GROUP_Y * F.col("height"), 0.0)
     beside, _ = right_of("h", "m", GROUP_X * F.col("width"), 0.2)
-    g = j.where(under | beside).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "h_seq", "h_name")))
+    g = j.where(under | beside).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "page", "h_seq", "h_name")))
     g = g.select("doc_id", F.col("h_name").alias("name"), F.when(F.col("h_type") == "bool", "true").otherwise(F.col("m_option")).alias("value"), F.round(GROUP * F.when(F.col("_n") == 1, 1.0).otherwise(SEVERAL), 4).alias("confidence"), F.col("m_mark").alias("mark"))
     return own.unionByName(g)
 

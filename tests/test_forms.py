@@ -227,14 +227,17 @@ def test_segments_are_classified_again_when_they_grow(spark):
 
 
 def test_forms_broadcast_nothing_that_grows(spark):
-    """Pages and blocks have known small sizes here, and still neither is a side to broadcast."""
+    """Pages, blocks and marks have known small sizes here, and still none of them is a side to broadcast."""
     ids = spark.range(4).withColumnRenamed("id", "doc_id").withColumn("page", F.lit(1))
     pages = ids.withColumn("width", F.lit(1000.0)).withColumn("height", F.lit(1400.0))
     box = lambda *v: [F.lit(float(x)).alias(k) for x, k in zip(v, ("x0", "y0", "x1", "y1"))]
     block = lambda seq, text, *v: F.struct(F.lit(seq).alias("seq"), F.lit(text).alias("text"), F.lit("body").alias("zone"), *box(*v))
     blocks = ids.select("doc_id", "page", F.inline(F.array(block(0, "Home address, street", 100, 100, 300, 120), block(1, "Home address", 100, 200, 300, 220), block(2, "1 Road", 100, 225, 300, 245), block(3, "Town", 100, 250, 300, 270))))
     labels = local_rows(spark, [("home", "Home address", "address", None, 1.0), ("home", "address", "address", None, 1.0), ("kind", "Town", "string", None, 1.0)], "name string, label string, type string, pattern string, weight double")
-    found = forms.label_candidates(blocks, pages.unionByName(pages), labels)
-    assert "BroadcastHashJoin [doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+    marks = ids.select("doc_id", "page", F.lit(0).alias("mark"), F.lit(True).alias("selected"), *box(80, 250, 95, 270))
+    found, ticked = forms.label_candidates(blocks, pages.unionByName(pages), labels), forms.mark_candidates(marks, blocks, pages, labels)
+    for df in (found, ticked):
+        assert "BroadcastHashJoin [doc_id" not in df._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.doc_id, r.seq, r.value, r.how) for r in found.where("name = 'home'").collect())
     assert got == [(k, s, v, h) for k in range(4) for s, v, h in ((1, "1 Road", "below"),)]  # each line once, though two labels fit it and its page is given twice
+    assert sorted((r.name, r.value) for r in ticked.collect()) == [("home", "Town")] * 4 + [("kind", "Town")] * 4
