@@ -483,6 +483,30 @@ def test_toxicity_with_clashing_columns_and_ties(spark):
     assert len({x.score for x in got.where("doc_id = 0").collect()}) == 1 and all(x.toxic == (x.score >= x.threshold) for x in got.collect())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    rows, labels = toxic_rows(random.Random(12), 6500)  # more rows of a class than one task learns
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen, plain, best = [], toxicity.train_shards, toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    monkeypatch.setattr(toxicity, "train_shards", lambda r, shards: (seen.append((r.count(), r.select("shard").distinct().count(), shards)), plain(r, shards))[1])
+    monkeypatch.setattr(toxicity, "best_threshold", lambda s, y, n: (seen.append(int(n.sum())), best(s, y, n))[1])
+    m = toxicity.fit(docs, marks)
+    usable = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k, _ in labels)
+    (learned, used, shards), *rest = seen
+    assert learned + sum(rest) == usable and used == shards > 1  # each row trains or calibrates
+    held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 4 == 2]
+    auc = ranked_share(toxicity.score_texts(m, pa.array([rows[k][1] for k in held])), np.array([labels[k][1] for k in held]))
+    again = toxicity.fit(docs, marks)
+    assert auc > 0.95 and again.thresholds == m.thresholds and np.array_equal(again.embed, m.embed)
+
+
+def test_equal_texts_have_equal_scores():
+    rows, labels = toxic_rows(random.Random(9), 60)
+    m = toxicity.train([t for _, t, _ in rows], np.array([y for _, y in labels]), epochs=1)
+    for _, t, _ in rows[:20]:
+        assert len({float(x) for k in range(12) for x in toxicity.score_texts(m, pa.array(["w " * k, t, t]))[1:]}) == 1
+
+
 def test_thresholds():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.5)
     assert 0.3 < toxicity.best_threshold(np.array([0.5, 0.5, 0.3, 0.1]), np.array([1, 0, 0, 0])) < 0.5
