@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.operators import passes
 from quillmark.settings import DEFAULTS, Settings
+from quillmark.tables import written
 
 # fixed values: function words of English, Spanish, Portuguese and French
 STOPWORDS = (
@@ -97,13 +102,14 @@ def profile_scores(settings: Settings = DEFAULTS) -> Column:
     return delta / F.sqrt(1 / inside + 1 / outside)
 
 
-def log_odds_profiles(counts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def log_odds_profiles(counts: DataFrame, settings: Settings = DEFAULTS, sizes: DataFrame | None = None) -> DataFrame:
     """(class, term, n) -> (class, term, z, weight): log-odds with an informative Dirichlet prior; the terms with the
     largest positive z of each class, with weights that sum to 1. Equal z go by term.
 
     The counts meet their totals in one pass: the classes of a term are one group of a shuffle by term; class and corpus
-    totals are small aggregates of the same counts, whose shuffle is reused."""
-    per_class = counts.groupBy("class").agg(F.sum("n").alias("n_c"))
+    totals are small aggregates of the same counts, whose shuffle is reused. sizes: (class, n_c), where counts lack terms
+    that can't be in a profile."""
+    per_class = counts.groupBy("class").agg(F.sum("n").alias("n_c")) if sizes is None else sizes
     total = per_class.agg(F.sum("n_c").alias("total"))
     j = counts.withColumn("y_w", F.sum("n").over(Window.partitionBy("term"))).join(F.broadcast(per_class.crossJoin(total)), "class")  # one row a class
     z = j.select("class", "term", profile_scores(settings).alias("z")).where("z > 0")
@@ -111,6 +117,43 @@ def log_odds_profiles(counts: DataFrame, settings: Settings = DEFAULTS) -> DataF
     return top.select("class", "term", F.round("z", 4).alias("z"), F.round(F.col("z") / F.sum("z").over(Window.partitionBy("class")), 6).alias("weight"))
 
 
+def most_z(least: dict, sizes: dict, settings: Settings = DEFAULTS) -> dict:
+    """What z a term can have at most in each class whose n is below least in every class, sizes being the classes' n_c.
+
+    With x = n + alpha and y = rest + alpha, z is at most ln(A / y) * sqrt(y), A = x * (total - n_c + a0) / (n_c + a0 - x), which
+    is largest, 2 / e * sqrt(A), at y = A / e^2; and alpha is at most a0 / total of the sum of least."""
+    total, a0 = sum(sizes.values()), settings.prior_strength
+    alpha = a0 * min(1.0, sum(least.values()) / max(total, 1.0))
+    x = {c: least[c] + alpha for c in sizes}
+    return {c: 2 / math.e * math.sqrt(x[c] * max(total - n + a0, 1e-9) / (n + a0 - x[c])) if n + a0 > x[c] else math.inf for c, n in sizes.items()}
+
+
+FEW_TERMS = 1_000_000  # so many are counted at once
+
+
+def text_profiles(labelled: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """log_odds_profiles(class_counts(labelled)) of (class, text), as a written table, without a row for each term of the corpus.
+
+    A first pass counts all terms by a hash. Terms of the heaviest buckets of a class are then counted exactly; most_z()
+    says what z any other term can have. If that reaches a profile's last term, or a profile isn't full, more buckets are counted, at last
+    all of them. The result is exact at every step."""
+    stop = skeleton_stopwords()
+    buckets = written(passes.bucket_counts(labelled, stop))
+    per_class = written(buckets.groupBy("class").agg(F.sum("n").alias("n_c")))
+    sizes = {r["class"]: r.n_c for r in per_class.collect()}  # one row a class
+    for share in (0.98, 0.9, 0.0) if sum(sizes.values()) > FEW_TERMS else (0.0,):
+        least = {r["class"]: r.least if share else 0.0 for r in buckets.groupBy("class").agg(F.percentile("n", F.lit(share)).alias("least"), F.count("*").alias("k")).collect()}
+        bound = F.create_map(*[F.lit(x) for c, n in least.items() if c is not None for x in (c, n)]) if set(least) - {None} else None
+        heavy = F.lit(True) if not share or bound is None else F.coalesce(F.col("n") >= bound[F.col("class")], F.col("n") >= F.lit(least.get(None, 0.0)))
+        wanted = np.zeros(passes.BUCKETS, bool)
+        wanted[[r.bucket for r in buckets.where(heavy).select("bucket").distinct().collect()]] = True  # at most BUCKETS rows
+        out = written(log_odds_profiles(passes.counts_in_buckets(labelled, stop, wanted), settings, per_class))
+        last = {r["class"]: (r.k, r.z) for r in out.groupBy("class").agg(F.count("*").alias("k"), F.min("z").alias("z")).collect()}
+        limit = most_z(least, sizes, settings)
+        if not share or all(last.get(c, (0, 0.0))[0] == settings.profile_terms and last[c][1] - 0.001 > limit[c] for c in sizes if c is not None):
+            return out
+
+
 def idf(profiles: DataFrame) -> DataFrame:
     """(term, df, idf) over the profiles of all classes."""
     n = profiles.select(F.count_distinct("class").alias("n_classes"))
@@ -124,10 +167,23 @@ def bm25(blocks: DataFrame, profiles: DataFrame, settings: Settings = DEFAULTS)
     shuffle; what is left is shuffled once, by document, and its length goes along as a term of its own that every class
     has at weight 0: so documents without a hit come out with zeros. profiles is used more than once and should be a
     written table."""
+    p = _weights(profiles)
+    return _bm25(weighted_terms(blocks, settings).join(F.broadcast(p.select("term").distinct()), "term", "left_semi"), p, settings)
+
+
+def text_bm25(docs: DataFrame, profiles: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """bm25() of plain texts (doc_id, text), whose lines are all body blocks. profiles should be a written table."""
+    terms = [r.term for r in profiles.select("term").distinct().collect()]  # at most profile_terms a class
+    return _bm25(passes.known_terms(docs, terms, LENGTH, settings.caps_length), _weights(profiles), settings)
+
+
+def _weights(profiles: DataFrame) -> DataFrame:
     p = profiles.join(idf(profiles), "term").select("class", "term", "weight", "idf")
-    p = p.unionByName(profiles.select("class").distinct().select("class", F.lit(LENGTH).alias("term"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("idf")))
-    rows = weighted_terms(blocks, settings).join(F.broadcast(p.select("term").distinct()), "term", "left_semi").repartition("doc_id")
-    terms = summed_terms(rows, settings).withColumn("length", F.max(F.when(F.col("term") == LENGTH, F.col("tf"))).over(Window.partitionBy("doc_id"))).where("length > 0")
+    return p.unionByName(profiles.select("class").distinct().select("class", F.lit(LENGTH).alias("term"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("idf")))
+
+
+def _bm25(rows: DataFrame, p: DataFrame, settings: Settings) -> DataFrame:
+    terms = summed_terms(rows.repartition("doc_id"), settings).withColumn("length", F.max(F.when(F.col("term") == LENGTH, F.col("tf"))).over(Window.partitionBy("doc_id"))).where("length > 0")
     norm = settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("length") / settings.average_length)
     hit = terms.join(F.broadcast(p), "term").withColumn("sat", F.col("tf") / (F.col("tf") + norm))
     got = hit.groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("idf") * F.col("sat") * (settings.bm25_k1 + 1)).alias("raw"), F.sum(F.col("weight") * F.greatest("idf", F.lit(0.0)) * F.col("sat")).alias("shown"), F.sum("weight").alias("seen"))

@@ -57,7 +57,7 @@ def caps_tokens(spark, sf_dir):
 
 def _profiles(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return lexical.log_odds_profiles(lexical.class_counts(d.select(F.concat(F.lit("prose_"), "lang").alias("class"), "text")))
+    return lexical.text_profiles(d.select(F.concat(F.lit("prose_"), "lang").alias("class"), "text"))
 
 
 def _zones(spark, sf_dir):
@@ -73,7 +73,7 @@ def profile_doc_freq(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return lexical.bm25(_blocks(spark, sf_dir), written(_profiles(spark, sf_dir)))
+    return lexical.text_bm25(documents(spark, sf_dir).select("doc_id", "text"), _profiles(spark, sf_dir))
 
 
 def bm25_scores(spark, sf_dir):
@@ -109,7 +109,8 @@ def contested_claims(spark, sf_dir):
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document's class, or unknown and why."""
-    a, z = R.anchors(spark), _zones(spark, sf_dir)
+    a = R.anchors(spark)
+    z = written(A.plain_zone_phrases(documents(spark, sf_dir), a, R.negatives(spark)))
     found = written(A.anchor_hits(_blocks(spark, sf_dir), a, zones=z))
     hits = A.anchor_scores(found, A.negative_hits(_blocks(spark, sf_dir), R.negatives(spark), z), a).select("doc_id", "doctype_id", "bits", "score", F.col("coverage").alias("anchor_coverage"))
     muted = A.muted_peers(R.confusables(spark), identify.muted_claims(z, a))

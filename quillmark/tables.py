@@ -46,3 +46,15 @@ def registry_side(df: DataFrame, most: int = REGISTRY_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Bounds of a batch that goes to Python: rows hold whole texts.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to BATCH_BOUNDS; they are never raised or set back."""
+    for key, most in BATCH_BOUNDS.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
